@@ -108,12 +108,15 @@ def pieces(batches, most_bytes: int = 2 << 20, text: str = "text"):
             yield batch.slice(int(a), int(b - a))
 
 
-def words_of(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+ALNUM = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])  # for words without ASCII punctuation
+
+
+def words_of(buf: np.ndarray, at: np.ndarray, letters: np.ndarray = IN_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word hashes, word starts, first word of each document and the end) of lower-cased texts."""
     if not len(buf):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(len(at), np.int64)
     buf = LOWER[buf]
-    word = IN_WORD[buf]
+    word = letters[buf]
     inner = at[1:-1]
     opens = word.copy()
     opens[1:] &= ~word[:-1]
