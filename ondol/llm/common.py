@@ -154,3 +154,11 @@ class Lookup:
             out[hit] = here[hit]
             here = here + np.int32(1)
         return out
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps now, not whenever the driver collects garbage."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
