@@ -44,7 +44,17 @@ def write_out(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written_to = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table._written_to)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def remainder(id_col: str, k: int) -> Column:
@@ -64,11 +74,15 @@ def powers(n: int, inverse: bool = False) -> np.ndarray:
 
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64 bits that spreads every input bit."""
-    x = x ^ (x >> U(30))
-    x = x * U(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> U(27))
-    x = x * U(0x94D049BB133111EB)
-    return x ^ (x >> U(31))
+    y = x >> U(30)
+    y ^= x
+    y *= U(0xBF58476D1CE4E5B9)
+    z = y >> U(27)
+    y ^= z
+    y *= U(0x94D049BB133111EB)
+    np.right_shift(y, U(31), out=z)
+    y ^= z
+    return y
 
 
 def prefix_sums(buf: np.ndarray) -> np.ndarray:
@@ -83,6 +97,14 @@ def spans_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mixed((sums[ends] - sums[starts]) * powers(len(sums), True)[starts] + (ends - starts).astype(np.uint64))
 
 
+def grams_hash(sums: np.ndarray, length: int) -> np.ndarray:
+    """spans_hash of every substring of the length, in order."""
+    x = sums[length:] - sums[:-length]
+    x *= powers(len(x), True)
+    x += U(length)
+    return mixed(x)
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, n+1 offsets) of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import U, mixed, pieces, prefix_sums, release, spans_hash, text_buffer, write_out
+from .common import Lookup, U, discard, grams_hash, mixed, pieces, prefix_sums, release, spans_hash, text_buffer, write_out
 
 GRAM = 16
 
@@ -61,8 +61,7 @@ class Slice:
         self.place = np.zeros(0, np.int64)
         if n >= length:
             w = length - gram + 1
-            start = np.arange(n - gram + 1)
-            code = spans_hash(self.sums, start, start + gram)
+            code = grams_hash(self.sums, gram)
             low = sliding(code, w, np.minimum)
             ends = self.at[1:-1]
             across = np.zeros(len(low) + 1, np.int32)  # windows over the end of a text are void
@@ -119,7 +118,7 @@ def members(lists: pa.Array, row: np.ndarray, name: np.ndarray) -> np.ndarray:
     size = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(lists), 0), np.int64)
     owner = np.repeat(np.arange(len(size)), size)
     tag = lambda r, x: mixed(x + r.astype(np.uint64) * U(0x9E3779B97F4A7C15))
-    return np.isin(tag(row, name), tag(owner, flat))
+    return Lookup(np.unique(tag(owner, flat)))(tag(row, name)) >= 0
 
 
 def distinct_rows(row: np.ndarray, name: np.ndarray) -> np.ndarray:
@@ -168,16 +167,20 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             one = distinct_rows(s.row, name)
             yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(s.row[one])), signed(name[one]), signed(left[one]), signed(right[one])], ["id", "name", "left", "right"])
 
-    found = write_out(sized.join(per_doc, "id").mapInArrow(contexts, f"id {kind}, name long, left long, right long"), "suffix-contexts")
+    bucket = Window.partitionBy("name").orderBy("id")
+    found = sized.join(per_doc, "id").mapInArrow(contexts, f"id {kind}, name long, left long, right long")
+    found = found.select("*", (F.first("id").over(bucket.rowsBetween(Window.unboundedPreceding, Window.currentRow)) != F.col("id")).alias("later"))
+    found = found.select("id", "name", *(F.when(~F.col("later"), F.col(c)).alias(c) for c in ("left", "right")), "later")
+    found = write_out(found, "suffix-contexts")
+    discard(grams)
     release(spark)
-    first = write_out(found.groupBy("name").agg(F.min("id").alias("id"), F.first("left").alias("left"), F.first("right").alias("right"), F.count("*").alias("n")), "suffix-first")
-    gone = found.select("id", "name").join(first.where("n > 1").select("name", F.col("id").alias("low")), "name").where("id > low")
-    gone = gone.groupBy("id").agg(F.collect_list("name").alias("whole"))
-    shared = {side: first.where(f"{side} != 0").groupBy(side).agg(F.count("*").alias("n")).where("n > 1").select(side, F.lit(True).alias(f"is_{side}")) for side in ("left", "right")}
+    gone = write_out(found.where("later").groupBy("id").agg(F.collect_list("name").alias("whole")), "suffix-gone")
+    first = found.where("not later").select("id", "name", "left", "right")
+    shared = {side: first.where(f"{side} != 0").groupBy(side).agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a != z").select(side, F.lit(True).alias(f"is_{side}")) for side in ("left", "right")}
     still = first.join(shared["left"], "left", "left").join(shared["right"], "right", "left").where("is_left OR is_right")
     still = still.select("id", F.when(F.col("is_left"), F.col("name")).alias("l"), F.when(F.col("is_right"), F.col("name")).alias("r"))
     asked = write_out(still.groupBy("id").agg(F.collect_list("l").alias("lefts"), F.collect_list("r").alias("rights")), "suffix-asked")
-    gone = write_out(gone, "suffix-gone")
+    discard(found)
     release(spark)
 
     def last(batches):
@@ -194,26 +197,35 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     windows = mixed_buckets(sized.join(asked, "id").mapInArrow(last, f"id {kind}, name long")).where("id > first")
     windows = write_out(windows.groupBy("id").agg(F.collect_list("name").alias("windows")), "suffix-windows")
+    discard(asked)
     release(spark)
     told = gone.join(windows, "id", "full")
 
     def cut(batches):
         for b in pieces(batches):
-            told_rows = np.asarray(b.column("told"))
             buf, at = text_buffer(b.column("text"))
             change = np.zeros(len(buf) + 1, np.int32)
-            if told_rows.any():
-                s = Slice(b, length)
-                name, lo, hi = s.contexts()
-                hit = members(b.column("whole"), s.row, name)
-                np.add.at(change, lo[hit], 1)
-                np.add.at(change, hi[hit], -1)
-                size = np.diff(at)
-                for r in np.flatnonzero((size >= length) & np.asarray(b.column("windowed"))):
-                    start = np.arange(at[r], at[r + 1] - length + 1)
-                    at_hit = start[members(b.column("windows").slice(int(r), 1), np.zeros(len(start), np.int64), s.names(start))]
-                    np.add.at(change, at_hit, 1)
-                    np.add.at(change, at_hit + length, -1)
+            for column, told in (("whole", b.column("whole").is_valid()), ("windows", b.column("windows").is_valid())):
+                some = np.flatnonzero(np.asarray(told))
+                part = b.take(pa.array(some))
+                s = Slice(part, length) if column == "whole" else None
+                size = np.diff(at)[some]
+                shift = at[some] - (np.cumsum(size) - size)  # from the part's bytes to the slice's
+                if s is not None:
+                    name, lo, hi = s.contexts()
+                    hit = members(part.column(column), s.row, name)
+                    row, lo, hi = s.row[hit], lo[hit], hi[hit]
+                else:
+                    raw, cuts = text_buffer(part.column("text"))
+                    if len(raw) < length:
+                        continue
+                    name = grams_hash(prefix_sums(raw), length)
+                    row = np.repeat(np.arange(len(size)), size)[: len(name)]
+                    lo = np.arange(len(name))
+                    ok = (lo + length <= cuts[1:][row]) & members(part.column(column), row, name)
+                    row, lo, hi = row[ok], lo[ok], lo[ok] + length
+                np.add.at(change, lo + shift[row], 1)
+                np.add.at(change, hi + shift[row], -1)
             gone_bytes = np.cumsum(change[:-1]) > 0
             kept, spans, removed = [], [], []
             for a, z in zip(at[:-1].tolist(), at[1:].tolist()):
@@ -228,7 +240,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 ["id", "n_bytes", "n_removed", "n_spans", "kept", "spans"],
             )
 
-    joined = rows.join(told, "id", "left").select("id", "text", "whole", "windows", (F.col("whole").isNotNull() | F.col("windows").isNotNull()).alias("told"), F.col("windows").isNotNull().alias("windowed"))
+    joined = rows.join(told, "id", "left").select("id", "text", "whole", "windows")
     return joined.mapInArrow(cut, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept binary, spans array<long>")
 
 
