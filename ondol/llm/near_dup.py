@@ -15,12 +15,16 @@ empty bands, which would be equal by chance, are those left out.
 Size bands.  Sizes are dealt into bands that grow by 1/t; d and m are fixed by the band, and a text
 emits into its own band and the next, so every linked pair meets in the band of its larger text.
 
+Every set also has a dense sketch of 512 bits, whose Hamming distance bounds the symmetric difference
+from below too; it is compared before any text is.
+
 Join.  Texts with equal sets are collapsed first, by grouped minimum, so thousands of copies are one
 representative.  Representatives that share a band key form a bucket; within it only pairs with the
 bucket's first are verified, on the texts themselves; what links is one component and needs no
-further pairs.  Buckets that still span components are taken again with their next pivot, and
-in the end pair by pair across components, so no link that joins components is lost, and no bucket
-emits all its pairs.  Since a text emits d + 1 distinct keys, one key can hold at most one row per
+further pairs.  Buckets that still span components are taken again with their most central member
+(the one with the fullest buckets) as pivot, and in the end across components, where the join itself
+compares the dense sketches: only pairs of different components under the bound leave it.  So no link
+that joins components is lost, and no bucket emits all its pairs.  Since a text emits d + 1 distinct keys, one key can hold at most one row per
 text, a share of 1 / 2(d + 1) of all rows.
 
 Nulls and odd inputs: a null or wordless text has an empty set and links with nothing; rows that
@@ -38,8 +42,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import U, mixed, pieces, text_buffer, words_of, write_out
+from .common import U, discard, mixed, pieces, text_buffer, words_of, write_out
 
+BITS = [f"b{i}" for i in range(8)]
 SPARE = 0.3  # bands beyond d + 1, as a share of d + 1
 
 
@@ -118,10 +123,25 @@ def sketches(docs: DataFrame, k: int, t: float) -> DataFrame:
             flat = keys[order].view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(flat))
             sums = [pa.array((x[at[1:]] - x[at[:-1]]).view(np.int64)) for x in (total.astype(np.uint64), other.astype(np.uint64))]
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(np.diff(at)), *sums, lists], ["id", "n", "set1", "set2", "keys"])
+            doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
+            odd = np.bincount(doc * 512 + (mixed(code + U(3)) >> U(55)).astype(np.int64), minlength=512 * (len(at) - 1)).astype(np.uint8) & 1
+            dense = np.packbits(odd).view(np.int64).reshape(-1, len(BITS))
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(np.diff(at)), *sums, lists, *(pa.array(dense[:, i]) for i in range(len(BITS)))], ["id", "n", "set1", "set2", "keys", *BITS])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(sketch, f"id {kind}, n long, set1 long, set2 long, keys array<long>")
+    return docs.mapInArrow(sketch, f"id {kind}, n long, set1 long, set2 long, keys array<long>, " + ", ".join(f"{b} long" for b in BITS))
+
+
+def close(x: str, y: str, t: float):
+    """Whether the dense sketches of x and y allow a link."""
+    apart = sum((F.bit_count(F.col(f"{x}.{b}").bitwiseXOR(F.col(f"{y}.{b}"))) for b in BITS), F.lit(0))
+    return apart <= (F.col(f"{x}.n") + F.col(f"{y}.n")) * ((1 - t) / (1 + t)) + 1e-6
+
+
+def allowed(pairs: DataFrame, shapes: DataFrame, t: float) -> DataFrame:
+    """Those (a, b) of pairs whose dense sketches allow a link."""
+    x, y = shapes.alias("x"), shapes.alias("y")
+    return pairs.join(x, F.col("a") == F.col("x.set1")).join(y, (F.col("b") == F.col("y.set1")) & close("x", "y", t)).select("a", "b")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, k: int, t: float) -> DataFrame:
@@ -168,41 +188,47 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sets = sketches(rows, k, t)
     # one representative per set; a set is named by set1, of which set2 is the check digit
-    each = write_out(sets.select("id", "n", "set1", "set2", F.when(F.col("n") > 0, F.col("keys")).alias("keys")), "dup-sets")
-    reps = each.where("n > 0").groupBy("set1").agg(F.min("id").alias("low"), F.min(F.struct("n", "keys")).alias("k"))
-    keyed = reps.select("set1", F.explode("k.keys").alias("key"))
+    each = write_out(sets, "dup-sets")
+    full = each.where("n > 0")
+    reps = full.groupBy("set1").agg(F.min("id").alias("low"), F.min("keys").alias("keys"))
+    keyed = reps.select("set1", F.explode("keys").alias("key"))
     bucket = Window.partitionBy("key").orderBy("set1")
     ranked = keyed.select("key", "set1", F.first("set1").over(bucket.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("first"), F.lead("set1").over(bucket).alias("after"))
     shared = write_out(ranked.where(F.col("after").isNotNull() | (F.col("first") != F.col("set1"))).select("key", "set1", "first"), "dup-buckets")
-    tested = shared.where("first != set1").select(F.col("first").alias("a"), F.col("set1").alias("b")).distinct()
-    tested = write_out(tested, "dup-pairs")
     members = shared.select("set1").distinct()
-    chosen = each.where("n > 0").groupBy("set1").agg(F.min(F.struct("id", "n")).alias("r"))
-    chosen = chosen.join(members, "set1", "left_semi").select("set1", F.col("r.id").alias("id"))
-    texts = rows.join(chosen, rows["id"].eqNullSafe(chosen["id"])).select(chosen["set1"], rows["text"])
-    texts = write_out(texts, "dup-texts")
-    links = write_out(verified(tested, texts, k, t), "dup-links")
+    chosen = full.groupBy("set1").agg(F.min(F.struct("id", "n", *BITS)).alias("r")).join(members, "set1", "left_semi")
+    chosen = write_out(chosen.select("set1", "r.*"), "dup-chosen")
+    shapes = chosen.select("set1", "n", *BITS)
+    tested = shared.where("first != set1").select(F.col("first").alias("a"), F.col("set1").alias("b")).distinct()
+    tested = write_out(allowed(tested, shapes, t), "dup-pairs")
+    wanted = chosen.select("set1", F.col("id").alias("key_id"))
+
+    def check(pairs: DataFrame) -> DataFrame:
+        some = wanted.join(pairs.select(F.col("a").alias("set1")).union(pairs.select("b")).distinct(), "set1", "left_semi")
+        texts = rows.join(some, rows["id"].eqNullSafe(some["key_id"])).select("set1", "text").dropDuplicates(["set1"])
+        return write_out(verified(pairs, texts, k, t), "dup-links")
+
+    links = check(tested)
     for step in range(pivots + 1):
         label = components(links)
         named = shared.join(label.select(F.col("node").alias("set1"), "root"), "set1", "left").select("key", "set1", F.coalesce("root", "set1").alias("root"))
-        mixed_keys = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
-        open_ = write_out(named.join(mixed_keys, "key"), "dup-open")
+        spanning = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
+        open_ = write_out(named.join(spanning, "key"), "dup-open")
         if step < pivots:
-            # the next pivot of a bucket: its first member outside the component of its first member
-            lows = open_.groupBy("key").agg(F.min(F.struct("set1", "root")).alias("f"))
-            rest = open_.join(lows, "key")
-            pivot = rest.where(F.col("root") != F.col("f.root")).groupBy("key").agg(F.min(F.struct("set1", "root")).alias("p"))
+            sizes = open_.groupBy("key").agg(F.count("*").alias("size"))
+            central = open_.join(sizes, "key").groupBy("set1").agg(F.sum("size").alias("weight"))
+            pivot = open_.join(central, "set1").groupBy("key").agg(F.max(F.struct("weight", "set1", "root")).alias("p"))
             fresh = open_.join(pivot, "key").where(F.col("root") != F.col("p.root")).select(F.least("set1", "p.set1").alias("a"), F.greatest("set1", "p.set1").alias("b"))
+            fresh = allowed(fresh.distinct(), shapes, t)
         else:
-            x, y = open_.alias("x"), open_.alias("y")
-            fresh = x.join(y, "key").where((F.col("x.set1") < F.col("y.set1")) & (F.col("x.root") != F.col("y.root"))).select(F.col("x.set1").alias("a"), F.col("y.set1").alias("b"))
-        fresh = write_out(fresh.distinct().join(tested, ["a", "b"], "left_anti"), "dup-pairs")
-        if fresh.isEmpty():
-            if step < pivots:
-                continue
-            break
-        tested = tested.union(fresh)
-        links = links.union(write_out(verified(fresh, texts, k, t), "dup-links"))
+            shaped = open_.join(shapes, "set1")
+            x, y = shaped.alias("x"), shaped.alias("y")
+            both = (F.col("x.key") == F.col("y.key")) & (F.col("x.set1") < F.col("y.set1")) & (F.col("x.root") != F.col("y.root")) & close("x", "y", t)
+            fresh = x.join(y, both).select(F.col("x.set1").alias("a"), F.col("y.set1").alias("b")).distinct()
+        fresh = write_out(fresh.join(tested, ["a", "b"], "left_anti"), "dup-pairs")
+        discard(open_)
+        if not fresh.isEmpty():
+            tested, links = tested.union(fresh), links.union(check(fresh))
     label = components(links)
     lows = reps.select("set1", "low")
     named = lows.join(label.select(F.col("node").alias("set1"), "root"), "set1", "left").select("set1", "low", F.coalesce("root", "set1").alias("root"))
