@@ -1,7 +1,7 @@
 """Line dedup by a deletion-neighbourhood join, with DataFrame functions only.
 
 A line is dropped when an earlier line of the corpus, in the order (id, place in the text), is
-equal to it or within one edit of it; an edit replaces, inserts or deletes one word.  Lines under
+equal to it or within one edit of it; an edit replaces, inserts or deletes one word; words are what single spaces part.  Lines under
 min_words words are never dropped; lines under near_words words only when equal.
 
 1. Equal lines meet by a 128-bit hash of their words; the grouped minimum names the first.
@@ -29,13 +29,12 @@ from pyspark.sql.window import Window
 
 from .common import write_out
 
-SPACE = r"[\x20\x09-\x0D]+"
 MIN_WORDS = 5
 NEAR_WORDS = 10
 
 
 def words_of_line(line: Column) -> Column:
-    return F.filter(F.split(line, SPACE), lambda w: w != "")
+    return F.split(line, " ")
 
 
 def half_keys(words: Column, n: Column) -> Column:
@@ -54,9 +53,9 @@ def numbered_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int,
     words = F.col("words")
     n = F.size(words)
     return (
-        rows.select("id", "row", "pos", words_of_line(F.col("line")).alias("words"))
+        rows.select("id", "row", "pos", "line", words_of_line(F.col("line")).alias("words"))
         .where(n >= min_words)
-        .select("id", "row", "pos", n.alias("n"), F.xxhash64(words).alias("h1"), F.xxhash64(words, F.lit(1)).alias("h2"), F.when(n >= near_words, half_keys(words, n)).alias("halves"))
+        .select("id", "row", "pos", n.alias("n"), F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"), F.when(n >= near_words, half_keys(words, n)).alias("halves"))
     )
 
 
@@ -73,10 +72,10 @@ def same_but_one(x: Column, y: Column) -> Column:
 
 def near_dropped(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(h1, h2) of the distinct lines that come after a line within one edit."""
-    halves = distinct.select("h1", "h2", F.explode("halves").alias("half"))
+    halves = distinct.select("h1", F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.min("h1").alias("a"), F.max("h1").alias("z")).where("a != z").select("half")
-    able = halves.join(shared, "half").select("h1", "h2").distinct()
-    able = distinct.join(able, ["h1", "h2"]).select("h1", "h2", "first")
+    able = halves.join(shared, "half").select("h1").distinct()
+    able = distinct.join(able, "h1").select("h1", "h2", "first")
     places = able.groupBy(F.col("first.row").alias("row")).agg(F.collect_set(F.struct("first.pos", "first", "h1", "h2")).alias("places"))
     texts = docs.select(F.xxhash64(id_col, text_col).alias("row"), F.split(text_col, "\n").alias("lines")).join(places, "row").select("lines", F.explode("places").alias("p"))
     able = write_out(
@@ -138,14 +137,14 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 ORACLE_SQL = rf"""
 WITH l0 AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents),
-l1 AS (SELECT doc_id, pos, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS w FROM l0),
+l1 AS (SELECT doc_id, pos, line, string_split(line, ' ') AS w FROM l0),
 l AS (SELECT doc_id, pos, line, w, array_to_string(w, ' ') AS s, len(w) AS n FROM l1),
 f AS (SELECT s, any_value(w) AS w, any_value(n) AS n, min((doc_id, pos)) AS first FROM l WHERE n >= {MIN_WORDS} GROUP BY s),
-c AS (SELECT s, n, first, i, array_to_string(w[1:i - 1], ' ') || ' ' || array_to_string(w[i + 1:], ' ') AS v
+c AS (SELECT s, n, first, i, array_to_string(w[1:i - 1], ' ') || ' ' || array_to_string(w[i + 1:], ' ') AS v, array_to_string(w[1:i - 1] || w[i + 1:], ' ') AS u
       FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM f WHERE n >= {NEAR_WORDS})),
 e AS (SELECT v, i, n, min(first) AS first FROM c GROUP BY ALL),
 near AS (SELECT c.s FROM c JOIN e ON c.v = e.v AND c.i = e.i AND c.n = e.n WHERE e.first < c.first
-  UNION SELECT CASE WHEN c.first > f.first THEN c.s ELSE f.s END FROM c JOIN f ON trim(c.v) = f.s AND f.n = c.n - 1 AND f.n >= {NEAR_WORDS}),
+  UNION SELECT CASE WHEN c.first > f.first THEN c.s ELSE f.s END FROM c JOIN f ON c.u = f.s AND f.n = c.n - 1 AND f.n >= {NEAR_WORDS}),
 o AS (SELECT l.doc_id, l.pos, l.line, (l.n >= {MIN_WORDS} AND (near.s IS NOT NULL OR (l.doc_id, l.pos) > f.first)) AS gone
       FROM l LEFT JOIN f ON l.s = f.s LEFT JOIN near ON near.s = l.s)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone IS TRUE) AS n_dropped,
