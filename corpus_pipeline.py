@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ondol.llm import bpe, decontaminate, line_dedup, near_dup, toxicity
-from ondol.llm.common import release, write_out
+from ondol.llm.common import write_out
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,5 +31,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = write_out(stage(spark, docs, sf_dir), f"stage-{name}")
-        release(spark)
     return docs

@@ -43,7 +43,13 @@ def write_out(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df as Parquet in the shared folder and read it back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(cleanup, "false")
+    spark.conf.set(cleanup, "true")  # the shuffle files of this one execution go when it ends
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(cleanup, before)
     table = spark.read.schema(df.schema).parquet(path)
     table._written_to = path
     return table
@@ -176,11 +182,3 @@ class Lookup:
             out[hit] = here[hit]
             here = here + np.int32(1)
         return out
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished steps now, not whenever the driver collects garbage."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Lookup, U, discard, grams_hash, mixed, pieces, prefix_sums, release, spans_hash, text_buffer, write_out
+from .common import Lookup, U, discard, grams_hash, mixed, pieces, prefix_sums, spans_hash, text_buffer, write_out
 
 GRAM = 16
 
@@ -155,7 +155,6 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     grams = mixed_buckets(sized.mapInArrow(initial, f"id {kind}, name long")).select("id", "name")
     grams = write_out(grams, "suffix-grams")
-    release(spark)
     per_doc = grams.groupBy("id").agg(F.collect_list("name").alias("grams"))
 
     def contexts(batches):
@@ -173,7 +172,6 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = found.select("id", "name", *(F.when(~F.col("later"), F.col(c)).alias(c) for c in ("left", "right")), "later")
     found = write_out(found, "suffix-contexts")
     discard(grams)
-    release(spark)
     gone = write_out(found.where("later").groupBy("id").agg(F.collect_list("name").alias("whole")), "suffix-gone")
     first = found.where("not later").select("id", "name", "left", "right")
     shared = {side: first.where(f"{side} != 0").groupBy(side).agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a != z").select(side, F.lit(True).alias(f"is_{side}")) for side in ("left", "right")}
@@ -181,7 +179,6 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     still = still.select("id", F.when(F.col("is_left"), F.col("name")).alias("l"), F.when(F.col("is_right"), F.col("name")).alias("r"))
     asked = write_out(still.groupBy("id").agg(F.collect_list("l").alias("lefts"), F.collect_list("r").alias("rights")), "suffix-asked")
     discard(found)
-    release(spark)
 
     def last(batches):
         for b in pieces(batches):
@@ -198,7 +195,6 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     windows = mixed_buckets(sized.join(asked, "id").mapInArrow(last, f"id {kind}, name long")).where("id > first")
     windows = write_out(windows.groupBy("id").agg(F.collect_list("name").alias("windows")), "suffix-windows")
     discard(asked)
-    release(spark)
     told = gone.join(windows, "id", "full")
 
     def cut(batches):
