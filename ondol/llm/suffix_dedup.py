@@ -14,8 +14,9 @@ same anchor at the same place.
    it up to half a window; buckets of these two refine again, and single ones are finished.
 4. Last, the windows themselves of what is left are bucketed by their whole `length` bytes.
 
-Every level only passes on the members of buckets that are still mixed, and every level hands
-documents a list of bucket names, never positions of other documents.  A bucket can hold each
+Every level only passes on the members of buckets that are still mixed, and hands each document
+only what concerns it: bucket names to go on with, or its own places to remove, which carry a tag
+of the text so that rows with one id stay apart.  A bucket can hold each
 document once, while documents hold many anchors, so no bucket holds more than a small share of the
 rows; running windows keep no bucket in memory.
 
@@ -26,7 +27,7 @@ give no rows; texts of any length are taken whole.
 
 from __future__ import annotations
 
-import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -109,6 +110,15 @@ class Slice:
     def names(self, start: np.ndarray) -> np.ndarray:
         return spans_hash(self.sums, start, start + self.length)
 
+    def spots(self, row: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Tag of the text, first byte in it, and length, in one number each."""
+        return tags(self.buf, self.at)[row] << U(48) | (lo - self.at[row]).astype(np.uint64) << U(16) | (hi - lo).astype(np.uint64)
+
+
+def tags(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """16 bits of each text's checksum."""
+    return np.array([zlib.crc32(buf[a:b]) & 0xFFFF for a, b in zip(at[:-1].tolist(), at[1:].tolist())], np.uint64)
+
 
 def members(lists: pa.Array, row: np.ndarray, name: np.ndarray) -> np.ndarray:
     """Whether each (row, name) is in the row's list."""
@@ -161,18 +171,18 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for b in pieces(batches):
             s = Slice(b, length)
             s.keep(members(b.column("grams"), s.row, s.code))
-            name, _, _ = s.contexts()
+            name, lo, hi = s.contexts()
             left, right = s.sides()
-            one = distinct_rows(s.row, name)
-            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(s.row[one])), signed(name[one]), signed(left[one]), signed(right[one])], ["id", "name", "left", "right"])
+            spot = s.spots(s.row, lo, hi)
+            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(s.row)), *map(signed, (name, left, right, spot))], ["id", "name", "left", "right", "spot"])
 
     bucket = Window.partitionBy("name").orderBy("id")
-    found = sized.join(per_doc, "id").mapInArrow(contexts, f"id {kind}, name long, left long, right long")
+    found = sized.join(per_doc, "id").mapInArrow(contexts, f"id {kind}, name long, left long, right long, spot long")
     found = found.select("*", (F.first("id").over(bucket.rowsBetween(Window.unboundedPreceding, Window.currentRow)) != F.col("id")).alias("later"))
-    found = found.select("id", "name", *(F.when(~F.col("later"), F.col(c)).alias(c) for c in ("left", "right")), "later")
+    found = found.select("id", *(F.when(~F.col("later"), F.col(c)).alias(c) for c in ("name", "left", "right")), F.when(F.col("later"), F.col("spot")).alias("spot"), "later")
     found = write_out(found, "suffix-contexts")
     discard(grams)
-    gone = write_out(found.where("later").groupBy("id").agg(F.collect_list("name").alias("whole")), "suffix-gone")
+    gone = write_out(found.where("later").groupBy("id").agg(F.collect_list("spot").alias("whole")), "suffix-gone")
     first = found.where("not later").select("id", "name", "left", "right")
     shared = {side: first.where(f"{side} != 0").groupBy(side).agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a != z").select(side, F.lit(True).alias(f"is_{side}")) for side in ("left", "right")}
     still = first.join(shared["left"], "left", "left").join(shared["right"], "right", "left").where("is_left OR is_right")
@@ -188,12 +198,12 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             which = left | right
             s.keep(which)
             row, start = s.windows(left[which], right[which])
-            window = s.names(start)
-            one = distinct_rows(row, window)
-            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(row[one])), signed(window[one])], ["id", "name"])
+            spot = s.spots(row, start, start + length)
+            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(row)), signed(s.names(start)), signed(spot)], ["id", "name", "spot"])
 
-    windows = mixed_buckets(sized.join(asked, "id").mapInArrow(last, f"id {kind}, name long")).where("id > first")
-    windows = write_out(windows.groupBy("id").agg(F.collect_list("name").alias("windows")), "suffix-windows")
+    windows = sized.join(asked, "id").mapInArrow(last, f"id {kind}, name long, spot long")
+    windows = windows.select("id", "spot", F.first("id").over(bucket.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("first")).where("id > first")
+    windows = write_out(windows.groupBy("id").agg(F.collect_list("spot").alias("windows")), "suffix-windows")
     discard(asked)
     told = gone.join(windows, "id", "full")
 
@@ -201,27 +211,15 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for b in pieces(batches):
             buf, at = text_buffer(b.column("text"))
             change = np.zeros(len(buf) + 1, np.int32)
-            for column, told in (("whole", b.column("whole").is_valid()), ("windows", b.column("windows").is_valid())):
-                some = np.flatnonzero(np.asarray(told))
-                part = b.take(pa.array(some))
-                s = Slice(part, length) if column == "whole" else None
-                size = np.diff(at)[some]
-                shift = at[some] - (np.cumsum(size) - size)  # from the part's bytes to the slice's
-                if s is not None:
-                    name, lo, hi = s.contexts()
-                    hit = members(part.column(column), s.row, name)
-                    row, lo, hi = s.row[hit], lo[hit], hi[hit]
-                else:
-                    raw, cuts = text_buffer(part.column("text"))
-                    if len(raw) < length:
-                        continue
-                    name = grams_hash(prefix_sums(raw), length)
-                    row = np.repeat(np.arange(len(size)), size)[: len(name)]
-                    lo = np.arange(len(name))
-                    ok = (lo + length <= cuts[1:][row]) & members(part.column(column), row, name)
-                    row, lo, hi = row[ok], lo[ok], lo[ok] + length
-                np.add.at(change, lo + shift[row], 1)
-                np.add.at(change, hi + shift[row], -1)
+            spots = b.column("spots")
+            size = np.asarray(pa.compute.list_value_length(spots), np.int64)
+            row = np.repeat(np.arange(len(size)), size)
+            spot = np.asarray(spots.flatten(), np.int64).view(np.uint64)
+            own = (spot >> U(48)) == tags(buf, at)[row]
+            row, spot = row[own], spot[own]
+            lo = (spot >> U(16) & U(0xFFFFFFFF)).astype(np.int64) + at[row]
+            np.add.at(change, lo, 1)
+            np.add.at(change, lo + (spot & U(0xFFFF)).astype(np.int64), -1)
             gone_bytes = np.cumsum(change[:-1]) > 0
             kept, spans, removed = [], [], []
             for a, z in zip(at[:-1].tolist(), at[1:].tolist()):
@@ -236,7 +234,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 ["id", "n_bytes", "n_removed", "n_spans", "kept", "spans"],
             )
 
-    joined = rows.join(told, "id", "left").select("id", "text", "whole", "windows")
+    joined = rows.join(told, "id", "left").select("id", "text", F.concat(*(F.coalesce(c, F.array().cast("array<long>")) for c in ("whole", "windows"))).alias("spots"))
     return joined.mapInArrow(cut, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept binary, spans array<long>")
 
 
