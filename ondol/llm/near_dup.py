@@ -205,7 +205,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def check(pairs: DataFrame) -> DataFrame:
         some = wanted.join(pairs.select(F.col("a").alias("set1")).union(pairs.select("b")).distinct(), "set1", "left_semi")
-        texts = rows.join(some, rows["id"].eqNullSafe(some["key_id"])).select("set1", "text").dropDuplicates(["set1"])
+        texts = rows.join(some.hint("merge"), rows["id"].eqNullSafe(some["key_id"])).select("set1", "text").dropDuplicates(["set1"])
         return write_out(verified(pairs, texts, k, t), "dup-links")
 
     links = check(tested)
