@@ -76,7 +76,7 @@ def near_dropped(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: st
     shared = halves.groupBy("half").agg(F.min("h1").alias("a"), F.max("h1").alias("z")).where("a != z").select("half")
     able = halves.join(shared, "half").select("h1").distinct()
     able = distinct.join(able, "h1").select("h1", "h2", "first")
-    places = able.groupBy(F.col("first.row").alias("row")).agg(F.collect_set(F.struct("first.pos", "first", "h1", "h2")).alias("places"))
+    places = write_out(able.groupBy(F.col("first.row").alias("row")).agg(F.collect_set(F.struct("first.pos", "first", "h1", "h2")).alias("places")), "line-places")
     texts = docs.select(F.xxhash64(id_col, text_col).alias("row"), F.split(text_col, "\n").alias("lines")).join(places, "row").select("lines", F.explode("places").alias("p"))
     able = write_out(
         texts.select("p.first", "p.h1", "p.h2", words_of_line(F.element_at("lines", F.col("p.pos") + 1)).alias("words")).dropDuplicates(["h1", "h2"]),
