@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import write_out
+from .common import discard, write_out
 
 MIN_WORDS = 5
 NEAR_WORDS = 10
@@ -95,11 +95,13 @@ def near_dropped(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: st
     me = F.struct("first", "h1", "h2")
     earliest = cut.groupBy("variant", "i", "n").agg(F.min(me).alias("partner"))
     replaced = cut.join(earliest, ["variant", "i", "n"]).where(F.col("partner.first") < F.col("first")).select("h1", "h2", F.col("partner.h1").alias("g1"), F.col("partner.h2").alias("g2"))
+    replaced = write_out(replaced, "line-replaced")
     whole = cut.where("i = 0").select(F.col("all").alias("variant"), (F.col("n") + 1).alias("n"), me.alias("short"))
     both = cut.select("variant", "n", me.alias("long")).join(whole, ["variant", "n"])
     later, sooner = F.greatest("long", "short"), F.least("long", "short")
     inserted = both.where(F.col("long.first") != F.col("short.first")).select(later["h1"].alias("h1"), later["h2"].alias("h2"), sooner["h1"].alias("g1"), sooner["h2"].alias("g2"))
-    pairs = replaced.union(inserted).distinct()
+    pairs = write_out(replaced.union(inserted).distinct(), "line-pairs")
+    discard(cut, replaced)
     mine = able.select("h1", "h2", "words")
     theirs = able.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("words").alias("other"))
     return pairs.join(mine, ["h1", "h2"]).join(theirs, ["g1", "g2"]).where(same_but_one(F.col("words"), F.col("other"))).select("h1", "h2").distinct()
@@ -110,7 +112,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines = write_out(numbered_lines(docs, id_col, text_col, min_words, near_words), "lines")
     at = F.struct("id", "row", "pos")
     distinct = write_out(lines.groupBy("h1", "h2").agg(F.min(at).alias("first"), F.count("*").alias("copies"), F.first("halves").alias("halves")), "line-first")
-    near = near_dropped(docs, distinct.where(F.col("halves").isNotNull()), id_col, text_col).withColumn("near", F.lit(True))
+    near = write_out(near_dropped(docs, distinct.where(F.col("halves").isNotNull()), id_col, text_col), "line-near").withColumn("near", F.lit(True))
     touched = distinct.select("h1", "h2", F.struct("first.id", "first.pos").alias("first"), "copies").join(near, ["h1", "h2"], "left").where("near OR copies > 1")
     dropped = lines.select("h1", "h2", "row", "pos", F.struct("id", "pos").alias("at")).join(touched, ["h1", "h2"]).where(F.coalesce("near", F.lit(False)) | (F.col("at") > F.col("first"))).select("row", "pos")
     by_row = dropped.groupBy(F.col("row").alias("__row")).agg(F.collect_set("pos").alias("__dropped"))
