@@ -40,6 +40,7 @@ from .common import ALNUM, U, Lookup, mixed, pieces, text_buffer, words_of
 SHINGLE = 5
 K1, B = 1.2, 0.75
 BLOCK = 16
+DENSE = 1 << 23  # cells of a flat weight table
 
 
 def shingles(h: np.ndarray, k: int = SHINGLE) -> np.ndarray:
@@ -83,6 +84,7 @@ class Index:
     largest: np.ndarray
     span: int
     parts: list = field(repr=False)
+    flat: dict = field(default_factory=dict, repr=False)
 
     @classmethod
     def build(cls, ids: list, texts: list[str]) -> "Index":
@@ -106,8 +108,15 @@ class Index:
         return cls(np.array(ids, object), terms, np.searchsorted(term, np.arange(len(terms) + 1)), pair["i"], w, block_key, block_max, largest, max(64, 2 * longest), parts)
 
     def at(self, keys, values, wanted):
+        """Values of the wanted keys, 0 where there is none; by a flat table while that is small."""
         if not len(keys):
             return np.zeros(len(wanted))
+        if keys[-1] < DENSE:
+            flat = self.flat.get(id(values))
+            if flat is None:
+                flat = self.flat[id(values)] = np.zeros(len(self.terms) * (len(self.ids) + 1))
+                flat[keys] = values
+            return flat[wanted]
         i = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
         return np.where(keys[i] == wanted, values[i], 0.0)
 
