@@ -40,6 +40,7 @@ from .common import ALNUM, U, Lookup, mixed, pieces, text_buffer, words_of
 SHINGLE = 5
 K1, B = 1.2, 0.75
 BLOCK = 16
+NARROW = 64  # blocks up to which all block bounds of a passage are summed
 DENSE = 1 << 23  # cells of a flat weight table
 
 
@@ -126,6 +127,12 @@ class Index:
         bound = np.bincount(passage, self.largest[term]) if len(passage) else np.zeros(0)
         live = bound[passage] >= threshold if len(passage) else np.zeros(0, bool)
         passage, term = passage[live], term[live]
+        n_blocks = (len(self.ids) + BLOCK - 1) // BLOCK
+        if len(passage) and n_blocks <= NARROW:  # then the block bounds of all passages come at once
+            start = np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1]]))
+            most = np.add.reduceat(self.block_table[term], start, axis=0).max(axis=1)
+            live = np.repeat(most >= threshold - 1e-5, np.diff(np.append(start, len(passage))))
+            passage, term = passage[live], term[live]
         if not len(passage):
             return none
         order = np.lexsort((self.largest[term], passage))
@@ -135,7 +142,7 @@ class Index:
         run = np.cumsum(self.largest[term])
         run -= np.repeat(run[first] - self.largest[term[first]], size)
         opens = np.flatnonzero(run >= threshold - 1e-9)
-        n, n_blocks = len(self.ids), (len(self.ids) + BLOCK - 1) // BLOCK
+        n = len(self.ids)
         slot = np.repeat(np.arange(len(first)), size)
         long = self.cut[term[opens] + 1] - self.cut[term[opens]]
         found = np.unique(np.repeat(slot[opens], long) * n + self.items[runs(self.cut[term[opens]], long)])
@@ -159,6 +166,14 @@ class Index:
         keep = score >= threshold - 1e-9
         return passage[first][group[keep]], item[keep], score[keep]
 
+    @property
+    def block_table(self):
+        if not hasattr(self, "_table"):
+            n_blocks = (len(self.ids) + BLOCK - 1) // BLOCK
+            self._table = np.zeros((len(self.terms), n_blocks), np.float32)
+            self._table.ravel()[self.block_key] = self.block_max
+        return self._table
+
     @property
     def posting_key(self):
         if not hasattr(self, "_key"):
@@ -180,7 +195,8 @@ def match_slice(index: Index, find: Lookup, batch: pa.RecordBatch, threshold: fl
     own = first_window[doc[hit]]
     before = later > 0
     key = np.concatenate([own + later, (own + later - 1)[before]]) * len(index.terms) + np.concatenate([term[hit], term[hit][before]])
-    key = np.unique(key)
+    key.sort()
+    key = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
     passage, item, score = index.retrieve(key // len(index.terms), key % len(index.terms), threshold)
     row = np.searchsorted(first_window, passage, "right") - 1
     out: dict = {}
