@@ -67,13 +67,21 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, least_docs: int = LE
         return OrdinalModel()
     sizes = np.array([len(r) for r in rows])
     flat = np.concatenate(rows) if sizes.sum() else np.zeros(0, np.int32)
-    seen, place, df = np.unique(flat, return_inverse=True, return_counts=True)
-    use = df >= least_docs
-    number = np.cumsum(use) - 1
-    keep = use[place]
-    doc, col = np.repeat(np.arange(len(rows)), sizes)[keep], number[place[keep]]
+    use = np.bincount(flat, minlength=BUCKETS) >= least_docs
+    number = (np.cumsum(use) - 1).astype(np.int32)
+    keep = use[flat]
+    doc, col = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)[keep], number[flat[keep]]
+    del flat, keep
     n, m = len(rows), int(use.sum())
-    names, w = seen[use], np.zeros(m)
+    names, w = np.flatnonzero(use), np.zeros(m)
+
+    def summed(key, weights, at, size):
+        """bincount(key, weights[at]) by parts, for the driver's memory."""
+        out = np.zeros(size)
+        for i in range(0, len(key), 1 << 20):
+            out += np.bincount(key[i : i + (1 << 20)], weights[at[i : i + (1 << 20)]], size)
+        return out
+
     share = np.array([(grades >= k).mean() for k in range(1, top + 1)]).clip(1e-4, 1 - 1e-4)
     theta = np.maximum.accumulate(-np.log(share / (1 - share)))
     hw, ht = np.full(m, first**2), np.full(top, first**2)
@@ -81,11 +89,11 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, least_docs: int = LE
     for step in range(steps):
         if step in (40, 80, 160):  # the zeroed weights leave
             live = w != 0
-            number = np.cumsum(live) - 1
+            number = (np.cumsum(live) - 1).astype(np.int32)
             keep = live[col]
             doc, col, w, hw, names = doc[keep], number[col[keep]], w[live], hw[live], names[live]
             m = len(w)
-        z = np.bincount(doc, w[col], n)
+        z = summed(doc, w, col, n)
         ge = np.ones((n, top + 2))  # P(grade >= k), k = 0 .. top + 1
         ge[:, 1 : top + 1] = 1 / (1 + np.exp(-np.clip(z[:, None] - theta, -40, 40)))
         ge[:, top + 1] = 0
@@ -93,7 +101,7 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, least_docs: int = LE
         slope = ge * (1 - ge)
         up, down = slope[np.arange(n), grades] / p, slope[np.arange(n), grades + 1] / p
         dz = (down - up) / n
-        gw = np.bincount(col, dz[doc], m)
+        gw = summed(col, dz, doc, m)
         gt = np.bincount(grades, up / n, top + 2)[1 : top + 1] - np.bincount(grades + 1, down / n, top + 2)[1 : top + 1]
         hw += gw**2
         ht += gt**2
@@ -114,9 +122,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, grade: Column, id_col: str
             yield pa.RecordBatch.from_arrays([b.column("grade"), pa.array([text_features(t).tobytes() for t in b.column("text").to_pylist()], pa.binary())], ["grade", "f"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "doc_id")
-    found = rows.select("grade", "text").mapInArrow(number, "grade int, f binary").toPandas()
-    found = found.sort_values(["grade", "f"])
-    return fit_ordinal([np.frombuffer(x, np.int32) for x in found["f"]], found["grade"].to_numpy(np.int64))
+    found = rows.select("grade", "text").mapInArrow(number, "grade int, f binary").toArrow()
+    order = sorted(range(found.num_rows), key=lambda i: (found["grade"][i].as_py(), found["f"][i].as_py()))
+    grades = np.asarray(found["grade"], np.int64)[order]
+    return fit_ordinal([np.frombuffer(found["f"][i].as_buffer(), np.int32) for i in order], grades)
 
 
 def toxicity(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text", reject_at: float = 0.5) -> DataFrame:
