@@ -122,10 +122,14 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, grade: Column, id_col: str
             yield pa.RecordBatch.from_arrays([b.column("grade"), pa.array([text_features(t).tobytes() for t in b.column("text").to_pylist()], pa.binary())], ["grade", "f"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "doc_id")
-    found = rows.select("grade", "text").mapInArrow(number, "grade int, f binary").toArrow()
-    order = sorted(range(found.num_rows), key=lambda i: (found["grade"][i].as_py(), found["f"][i].as_py()))
-    grades = np.asarray(found["grade"], np.int64)[order]
-    return fit_ordinal([np.frombuffer(found["f"][i].as_buffer(), np.int32) for i in order], grades)
+    found = rows.select("grade", "text").mapInArrow(number, "grade int, f binary").toArrow().sort_by([("grade", "ascending"), ("f", "ascending")])
+    grades, packed = np.asarray(found["grade"], np.int64), found["f"].combine_chunks()
+    if isinstance(packed, pa.ChunkedArray):
+        packed = packed.chunk(0) if packed.num_chunks else pa.array([], pa.binary())
+    model = fit_ordinal([np.frombuffer(x.as_buffer(), np.int32) for x in packed], grades)
+    del found, packed
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def toxicity(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text", reject_at: float = 0.5) -> DataFrame:
