@@ -12,6 +12,14 @@ class Spark:
     cosine = staticmethod(lambda a, b: f"(aggregate(zip_with({a}, {b}, (p, q) -> cast(p as double) * q), 0D, (s, v) -> s + v) / sqrt(aggregate({a}, 0D, (s, v) -> s + cast(v as double) * v) * aggregate({b}, 0D, (s, v) -> s + cast(v as double) * v)))")
     explode = staticmethod(lambda x: f"explode({x})")
     seconds = staticmethod(lambda x: f"unix_timestamp({x})")
+    replace = staticmethod(lambda x, pattern, by: f"regexp_replace({x}, '{pattern}', '{by}')")
+    groups = staticmethod(lambda x, pattern: f"regexp_extract_all({x}, '{pattern}', 1)")
+    percentile = staticmethod(lambda x, p: f"percentile({x}, {p})")
+    overlap = staticmethod(lambda a, b: f"coalesce(array_max(filter(sequence(0, least(size({a}), size({b}))), k -> k > 0 AND slice({a}, size({a}) - k + 1, k) = slice({b}, 1, k))), 0)")
+    none_in = staticmethod(lambda words, text: f"NOT exists({words}, w -> contains({text}, w))")
+    keep_long = staticmethod(lambda words, n, stop: f"filter({words}, w -> length(w) >= {n} AND w NOT IN ({stop}))")
+    size = staticmethod(lambda x: f"size({x})")
+    numbers = staticmethod(lambda n: f"sequence(0, {n - 1})")
 
 
 class Duck:
@@ -23,3 +31,11 @@ class Duck:
     cosine = staticmethod(lambda a, b: f"list_cosine_similarity({a}::DOUBLE[], {b}::DOUBLE[])")
     explode = staticmethod(lambda x: f"unnest({x})")
     seconds = staticmethod(lambda x: f"cast(floor(epoch({x})) as bigint)")
+    replace = staticmethod(lambda x, pattern, by: f"regexp_replace({x}, '{pattern}', '{by}', 'g')")
+    groups = staticmethod(lambda x, pattern: f"regexp_extract_all({x}, '{pattern}', 1)")
+    percentile = staticmethod(lambda x, p: f"quantile_cont({x}, {p})")
+    overlap = staticmethod(lambda a, b: f"coalesce(list_max(list_filter(range(1, least(len({a}), len({b})) + 1), lambda k: {a}[len({a}) - k + 1 : len({a})] = {b}[1:k])), 0)")
+    none_in = staticmethod(lambda words, text: f"len(list_filter({words}, lambda w: contains({text}, w))) = 0")
+    keep_long = staticmethod(lambda words, n, stop: f"list_filter({words}, lambda w: length(w) >= {n} AND w NOT IN ({stop}))")
+    size = staticmethod(lambda x: f"len({x})")
+    numbers = staticmethod(lambda n: f"range({n})")

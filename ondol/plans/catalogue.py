@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
-from ..functions.dialect import Duck, Spark
-
 PRICE = "cast(round(l_extendedprice * 100) as bigint)"
 
 
@@ -52,7 +48,7 @@ SELECT p_brand, p_type, verdict, count(*) AS n_lines FROM j GROUP BY p_brand, p_
 
 
 def extract_costs(d):
-    return f"""SELECT o_orderkey, l_returnflag, sum({PRICE}) AS cost, count(*) AS n_lines FROM {d.table('orders')} JOIN {d.table('lineitem')} ON o_orderkey = l_orderkey
+    return f"""SELECT o_orderkey, l_returnflag, cast(sum({PRICE}) as bigint) AS cost, count(*) AS n_lines FROM {d.table('orders')} JOIN {d.table('lineitem')} ON o_orderkey = l_orderkey
 GROUP BY o_orderkey, l_returnflag HAVING sum({PRICE}) > 0"""
 
 
@@ -61,7 +57,7 @@ def value_counts(d):
 
 
 def scope_coverage(d):
-    return f"""WITH c AS (SELECT l_orderkey, sum(CASE WHEN l_returnflag IN ('A', 'N') THEN {PRICE} ELSE 0 END) AS asked, sum({PRICE}) AS total FROM {d.table('lineitem')} GROUP BY l_orderkey),
+    return f"""WITH c AS (SELECT l_orderkey, cast(sum(CASE WHEN l_returnflag IN ('A', 'N') THEN {PRICE} ELSE 0 END) as bigint) AS asked, cast(sum({PRICE}) as bigint) AS total FROM {d.table('lineitem')} GROUP BY l_orderkey),
 k AS (SELECT *, 100 * asked >= 40 * total AS covers FROM c), n AS (SELECT count(*) AS n FROM k WHERE covers)
 SELECT l_orderkey, asked, total FROM k CROSS JOIN n WHERE covers OR n < 3"""
 
@@ -108,7 +104,7 @@ SELECT doc_id, round(sum(1.0 / (60 + place)), 9) AS score, max(vec_place) AS vec
 
 def precision_at_k(d):
     return f"""WITH {bm25_scores(d)}, top AS (SELECT doc_id FROM bm ORDER BY score DESC, doc_id LIMIT 200)
-SELECT count(*) AS returned, count(quality) AS labelled, sum(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS relevant FROM top LEFT JOIN {d.table('labels')} l ON top.doc_id = l.doc_id"""
+SELECT count(*) AS returned, count(quality) AS labelled, cast(sum(CASE WHEN quality = 1 THEN 1 ELSE 0 END) as bigint) AS relevant FROM top LEFT JOIN {d.table('labels')} l ON top.doc_id = l.doc_id"""
 
 
 def latest_per_key(d):
@@ -128,7 +124,7 @@ SELECT user_id, {d.long('island')} AS island, count(*) AS n_events, {d.long('sum
 
 
 def duplicate_lines(d):
-    return f"SELECT l_orderkey, l_partkey, count(*) AS n_lines, sum({PRICE}) AS cents FROM {d.table('lineitem')} GROUP BY l_orderkey, l_partkey HAVING count(*) >= 2"
+    return f"SELECT l_orderkey, l_partkey, count(*) AS n_lines, cast(sum({PRICE}) as bigint) AS cents FROM {d.table('lineitem')} GROUP BY l_orderkey, l_partkey HAVING count(*) >= 2"
 
 
 def cross_duplicates(d):
@@ -165,7 +161,7 @@ SELECT c_custkey, c_mktsegment, turn FROM r WHERE turn <= 5"""
 
 
 def size_gap_histogram(d):
-    return f"SELECT abs(p_size - 25) AS gap, count(*) AS n, sum(CASE WHEN p_retailprice > 1000 THEN 1 ELSE 0 END) AS relevant FROM {d.table('part')} GROUP BY abs(p_size - 25)"
+    return f"SELECT abs(p_size - 25) AS gap, count(*) AS n, cast(sum(CASE WHEN p_retailprice > 1000 THEN 1 ELSE 0 END) as bigint) AS relevant FROM {d.table('part')} GROUP BY abs(p_size - 25)"
 
 
 def status_expire(d):
@@ -182,7 +178,7 @@ def accuracy_mape_coverage(d):
     return f"""WITH s AS (SELECT l_orderkey, sum({PRICE}) AS mid FROM {d.table('lineitem')} GROUP BY l_orderkey),
 j AS (SELECT o_orderpriority, mid, cast(round(o_totalprice * 100) as bigint) AS actual FROM {d.table('orders')} LEFT JOIN s ON o_orderkey = l_orderkey)
 SELECT o_orderpriority, count(*) AS n, count(mid) AS n_used, round(avg(abs(actual - mid) / cast(actual as double)), 6) AS mape,
-  sum(CASE WHEN actual BETWEEN 0.8 * mid AND 1.2 * mid THEN 1 ELSE 0 END) AS covered FROM j GROUP BY o_orderpriority"""
+  cast(sum(CASE WHEN actual BETWEEN 0.8 * mid AND 1.2 * mid THEN 1 ELSE 0 END) as bigint) AS covered FROM j GROUP BY o_orderpriority"""
 
 
 PLANS = (
@@ -190,17 +186,3 @@ PLANS = (
     precision_at_k, latest_per_key, asof_version, subtotal_islands, duplicate_lines, cross_duplicates, lump_sum, vague_terms, boilerplate_hash, log_report,
     bag_difference, stratified_round_robin, size_gap_histogram, status_expire, ratelimit_windows, accuracy_mape_coverage,
 )
-
-
-def query(plan):
-    text = plan(Spark)
-    tables = set(re.findall(r"(?<!\{)\{(\w+)\}(?!\})", text))
-
-    def run(spark, sf_dir: str):
-        return spark.sql(text, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables})
-
-    return run
-
-
-QUERIES = {plan.__name__: query(plan) for plan in PLANS}
-ORACLE_SQL = {plan.__name__: plan(Duck) for plan in PLANS}

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from ondol.plans import catalogue
+from ondol.plans import registry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -14,13 +14,13 @@ def rows(frame):
     return sorted(tuple(str(round(float(v), 6)) if isinstance(v, float) or hasattr(v, "as_tuple") else str(v) for v in r) for r in frame[names].astype(object).itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_same_rows(spark, name):
     con = duckdb.connect()
     for t in TABLES:
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    got = catalogue.QUERIES[name](spark, SF)
-    want = con.sql(catalogue.ORACLE_SQL[name])
+    got = registry.QUERIES[name](spark, SF)
+    want = con.sql(registry.ORACLE_SQL[name])
     assert sorted(got.columns) == sorted(want.columns)
     g, w = got.collect(), want.fetchall()
     order = [want.columns.index(c) for c in sorted(want.columns)]
