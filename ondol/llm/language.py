@@ -7,7 +7,7 @@ training texts' vectors, made a unit vector and centred on the mean of all proto
 language whose prototype has the largest cosine with its own centred vector.
 
 Bundling is linear, so a prototype needs only the n-gram counts of its language: tasks count
-n-grams, sum their vectors, and emit one vector a language and slice, which a grouped sum adds up.
+n-grams, sum their vectors, and emit one vector a language, which a grouped sum adds up.
 What is collected and broadcast is one vector per language; with more than max_languages distinct
 labels the fit raises an error.  A text is read whole; its vector is the sum over its distinct
 n-grams, weighted by their counts.
@@ -30,6 +30,9 @@ from .common import U, mixed, pieces, remainder
 
 DIMENSIONS = 512
 GRAM = 3
+RARE = 32  # how the vectors of an n-gram are added up, see bundles; no effect on results
+TABLE = 1 << 21  # cells of a count matrix
+PLACES = 1 << 13  # vectors gathered at a time
 
 
 def letter_vectors(codes: np.ndarray, dims: int) -> np.ndarray:
@@ -48,48 +51,72 @@ def gram_vectors(grams: np.ndarray, letters: np.ndarray) -> np.ndarray:
 
 
 def grams_of(texts: list[str], gram: int = GRAM):
-    """(code points, gram index of each place, document of each place, letter indexes of each gram)."""
-    joined = "\n\n\n".join(t.lower() for t in texts) + "\n\n\n"
-    code = np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32)
-    sizes = np.array([len(t.lower()) + 3 for t in texts], np.int64)
-    doc = np.repeat(np.arange(len(texts)), sizes)
-    seen, place = np.unique(code, return_inverse=True)
-    alpha = np.array([chr(c).isalpha() for c in seen])
-    letter = alpha[place]
+    """(code points, gram index of each place, text of each place, letter indexes of each gram); places are in text order."""
+    low = [t.lower() for t in texts]
+    code = np.frombuffer(("\n\n\n".join(low) + "\n\n\n").encode("utf-32-le", "replace"), np.uint32)
+    sizes = np.fromiter(map(len, low), np.int64, len(low)) + 3
+    doc = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
+    seen = np.flatnonzero(np.bincount(code))
+    letter_at = np.zeros(int(seen[-1]) + 1, bool)
+    letter_at[seen] = [chr(c).isalpha() for c in seen]
+    letter = letter_at[code]
     keep = letter.copy()
     keep[1:] |= letter[:-1]  # of other characters only the first after a letter stays, as a space
-    code, doc = np.where(letter, code, 32)[keep], doc[keep]
-    seen, place = np.unique(code, return_inverse=True)
+    code, doc = np.where(letter, code, np.uint32(32))[keep], doc[keep]
     if len(code) < gram:
         return seen, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, gram), np.int64)
+    seen = np.flatnonzero(np.bincount(code))
+    place_at = np.zeros(int(seen[-1]) + 1, np.int64)
+    place_at[seen] = np.arange(len(seen))
+    place = place_at[code]
     n = len(code) - gram + 1
     key = np.zeros(n, np.int64)
     for k in range(gram):
         key = key * len(seen) + place[k : n + k]
     whole = doc[:n] == doc[gram - 1 :]
     key, doc = key[whole], doc[:n][whole]
-    table, index = np.unique(key, return_inverse=True)
+    if len(seen) ** gram <= 4 * TABLE:  # few letters: a table instead of a sort
+        table = np.flatnonzero(np.bincount(key, minlength=1))
+        index_at = np.zeros(len(seen) ** gram, np.int64)
+        index_at[table] = np.arange(len(table))
+        index = index_at[key]
+    else:
+        table, index = np.unique(key, return_inverse=True)
     parts = np.stack([table // len(seen) ** (gram - 1 - k) % len(seen) for k in range(gram)], axis=1)
     return seen, index, doc, parts
 
 
 def bundles(texts: list[str], dims: int, groups: np.ndarray, n_groups: int) -> np.ndarray:
-    """Sum of the n-gram vectors of each group of texts."""
+    """Sum of the n-gram vectors of each group of texts; groups must not decrease.
+
+    N-grams found in the piece about once in RARE groups or more are counted in a dense matrix, a block of groups at a
+    time, and multiplied with their vectors; vectors of the rarer ones are added place by place.
+    """
     seen, index, doc, parts = grams_of(texts)
     out = np.zeros((n_groups, dims), np.float32)
     if not len(index):
         return out
-    vectors = gram_vectors(parts, letter_vectors(seen, dims)).astype(np.float32)
-    key = groups[doc] * len(vectors) + index
-    key.sort()
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    count = np.diff(np.append(first, len(key))).astype(np.float32)
-    group, gram = key[first] // len(vectors), key[first] % len(vectors)
-    cut = np.searchsorted(group, np.arange(n_groups + 1))
-    for g in range(n_groups):
-        a, b = cut[g], cut[g + 1]
-        if b > a:
-            out[g] = count[a:b] @ vectors[gram[a:b]]
+    vectors = gram_vectors(parts, letter_vectors(seen, dims))
+    group = groups[doc]
+    common = np.bincount(index, minlength=len(vectors)) * RARE >= n_groups
+    column = np.cumsum(common) - 1
+    n_common = int(common.sum())
+    is_common = common[index]
+    if n_common:
+        dense = vectors[common].astype(np.float32)
+        at, col = group[is_common], column[index[is_common]]
+        step = max(1, TABLE // n_common)
+        for a in range(0, n_groups, step):
+            b = min(n_groups, a + step)
+            i, j = np.searchsorted(at, [a, b])
+            if j > i:
+                count = np.bincount((at[i:j] - a) * n_common + col[i:j], minlength=(b - a) * n_common)
+                out[a:b] = count.astype(np.float32).reshape(b - a, n_common) @ dense
+    at, gram = group[~is_common], index[~is_common]
+    for i in range(0, len(at), PLACES):
+        here = at[i : i + PLACES]
+        first = np.flatnonzero(np.concatenate([[True], here[1:] != here[:-1]]))
+        out[here[first]] += np.add.reduceat(vectors[gram[i : i + PLACES]], first, axis=0, dtype=np.float32)
     return out
 
 
@@ -97,10 +124,17 @@ def fit_prototypes(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
     """Languages in order, and one summed vector each."""
 
     def bundle(batches):
+        sums: dict[str, np.ndarray] = {}
         for b in pieces(batches, 1 << 20):
             langs, codes = np.unique(np.array(b.column("lang").to_pylist(), object).astype(str), return_inverse=True)
-            v = bundles(b.column("text").to_pylist(), dims, codes, len(langs))
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array([x.astype(np.float64).tobytes() for x in v], pa.binary())], ["lang", "v"])
+            order, texts = np.argsort(codes, kind="stable"), b.column("text").to_pylist()
+            v = bundles([texts[i] for i in order], dims, codes[order], len(langs))
+            for name, x in zip(langs.tolist(), v):
+                sums[name] = sums[name] + x if name in sums else x.astype(np.float64)
+            if len(sums) > max_languages:
+                raise ValueError(f"more than {max_languages} languages")
+        if sums:  # one vector a language and task, however long the task's input
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["lang", "v"])
 
     def total(table: pa.Table) -> pa.Table:
         v = np.sum([np.frombuffer(x.as_py()) for x in table["v"].combine_chunks()], axis=0)
