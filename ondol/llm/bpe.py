@@ -3,10 +3,11 @@
 The most frequent pre-tokens of the corpus are compiled, with their token ids as outputs, into a
 minimal deterministic acyclic automaton that shares suffixes; a transition stores how many words
 pass before it, so that walking a word yields its rank and thereby its ids.  The automaton is
-broadcast (its size is bounded by lexicon_words), written once per executor to a file in the
-executor's own temporary folder, and memory-mapped.  All distinct pre-tokens of a slice walk the
-automaton together, one byte a step; those it does not hold are merged exactly, also together: in
-each step every word merges all places of its lowest-ranked pair.
+broadcast (its size is bounded by lexicon_words) and memory-mapped by each worker process from a
+file in its own temporary folder, whose name is removed as soon as it is mapped.  All new pre-tokens
+of a slice walk the automaton together, one byte a step; those it does not hold are merged exactly,
+also together: in each step every word merges all places of its lowest-ranked pair.  A worker
+remembers up to CACHED words with their ids; ids and bytes of whole slices are then gathered at once.
 
 Texts are split at added tokens first, as the tokenizer file demands, then by the byte-level
 pattern.  Decoding joins the tokens' bytes and reads them as UTF-8 with replacement.
@@ -17,11 +18,12 @@ an empty table gives an empty lexicon and no rows; a text of any length is encod
 
 from __future__ import annotations
 
-import hashlib
 import json
 import os
 import tempfile
+from collections import Counter
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +37,7 @@ from .common import pieces
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LEXICON_WORDS = 1 << 16
 LEAST_COUNT = 2
+CACHED = 1 << 18  # words a worker remembers or counts before it forgets or emits them; no effect on results
 
 
 def byte_letters() -> dict[str, int]:
@@ -50,6 +53,23 @@ def vocabulary(path: str) -> "Vocabulary":
     return Vocabulary(json.loads(open(path, encoding="utf-8").read()))
 
 
+@lru_cache(maxsize=2)
+def vocabulary_of(spec: str) -> "Vocabulary":
+    return Vocabulary(json.loads(spec))
+
+
+@lru_cache(maxsize=1)
+def encoder_of(spec: str, packed: bytes) -> "Encoder":
+    """One encoder a worker process, kept between its tasks."""
+    return Encoder(vocabulary_of(spec), Transducer.mapped(packed))
+
+
+def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Indexes of all places start, start + 1, ... of each span, in order."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
 class Vocabulary:
     def __init__(self, spec: dict):
         model, letters = spec["model"], byte_letters()
@@ -69,6 +89,10 @@ class Vocabulary:
         self.pair, self.rank, self.made = key[order], order.astype(np.int64), np.array(made, np.int64)[order]
         self.added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.bytes_of |= {i: t.encode() for t, i in self.added.items()}
+        top = max(self.bytes_of, default=-1) + 1
+        self.token_size = np.array([len(self.bytes_of.get(i, b"")) for i in range(top)], np.int64)
+        self.token_start = np.cumsum(self.token_size) - self.token_size
+        self.token_bytes = np.frombuffer(b"".join(self.bytes_of.get(i, b"") for i in range(top)), np.uint8)
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.find = regex.compile(PATTERN).findall
 
@@ -188,23 +212,27 @@ class Transducer:
         return cls({"key": take(key), "to": take(to), "before": take(before), "final": np.array([f for f, _ in states], np.int64), "root": np.array([root]), "cut": cut, "ids": flat})
 
     def pack(self) -> bytes:
-        head = json.dumps({k: len(v) for k, v in self.a.items()}).encode()
-        return len(head).to_bytes(8, "little") + head + b"".join(np.ascontiguousarray(v, np.int64).tobytes() for v in self.a.values())
+        """Head of names, sizes and widths, then the arrays, in 32 bits where their values fit."""
+        small = lambda v: np.ascontiguousarray(v, np.int32 if not len(v) or v.max() < 2**31 else np.int64)
+        arrays = {k: small(v) for k, v in self.a.items()}
+        head = json.dumps({k: [len(v), v.itemsize] for k, v in arrays.items()}).encode()
+        return len(head).to_bytes(8, "little") + head + b"".join(v.tobytes() for v in arrays.values())
 
     @classmethod
     def mapped(cls, data: bytes) -> "Transducer":
-        """Write data to the process's temporary folder, once for equal data, and map the file."""
-        path = os.path.join(tempfile.gettempdir(), f"lexicon-{hashlib.sha256(data).hexdigest()[:24]}")
-        if not os.path.exists(path):
-            fd, new = tempfile.mkstemp(dir=tempfile.gettempdir())
+        """Map data from a file in the process's temporary folder; the mapping outlives the file's name."""
+        fd, path = tempfile.mkstemp()
+        try:
             with os.fdopen(fd, "wb") as f:
                 f.write(data)
-            os.replace(new, path)
+            whole = np.memmap(path, np.uint8, "r")
+        finally:
+            os.unlink(path)
         n = int.from_bytes(data[:8], "little")
         at, arrays = 8 + n, {}
-        for k, size in json.loads(data[8 : 8 + n]).items():
-            arrays[k] = np.memmap(path, np.uint8, "r", offset=at, shape=(8 * size,)).view(np.int64) if size else np.zeros(0, np.int64)
-            at += 8 * size
+        for k, (size, width) in json.loads(data[8 : 8 + n]).items():
+            arrays[k] = np.asarray(whole[at : at + width * size]).view(np.int32 if width == 4 else np.int64)
+            at += width * size
         return cls(arrays)
 
     def ranks(self, words: list[bytes]) -> np.ndarray:
@@ -221,7 +249,7 @@ class Transducer:
             good = ended & (a["final"][state] == 1)
             out[live[good]] = rank[good]
             live, state, rank = live[~ended], state[~ended], rank[~ended]
-            key = state << 8 | raw[first[live] + depth]
+            key = (state << 8 | raw[first[live] + depth]).astype(a["key"].dtype)
             at = np.minimum(np.searchsorted(a["key"], key), len(a["key"]) - 1)
             ok = a["key"][at] == key
             live, state, rank = live[ok], a["to"][at[ok]], rank[ok] + a["before"][at[ok]]
@@ -232,30 +260,54 @@ class Transducer:
 class Encoder:
     def __init__(self, vocab: Vocabulary, lexicon: Transducer):
         self.v, self.lex = vocab, lexicon
+        self.forget()
 
-    def ids_of(self, words: list[str]) -> list[list[int]]:
-        """Ids of each distinct pre-token."""
+    def forget(self) -> None:
+        self.slot: dict[str, int] = {}
+        self.start, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def learn(self, words: list[str]) -> None:
+        """Remember the ids of distinct words not known yet."""
+        if not words:
+            return
         raw = [w.encode() for w in words]
-        ranks = self.lex.ranks(raw).tolist()
-        cut, ids = self.lex.a["cut"], self.lex.a["ids"]
-        out: list = [ids[cut[r] : cut[r + 1]].tolist() if r >= 0 else None for r in ranks]
+        ranks, cut = self.lex.ranks(raw), self.lex.a["cut"]
         added = [k for k, w in enumerate(words) if w.startswith(MARK) and w[len(MARK) :] in self.v.added]
-        for k in added:
-            out[k] = [self.v.added[words[k][len(MARK) :]]]
-        missing = [k for k, x in enumerate(out) if x is None]
-        for k, x in zip(missing, self.v.merge([raw[k] for k in missing])):
-            out[k] = x
-        return out
-
-    def encode(self, texts: list[str]) -> list[list[list[int]]]:
-        """For each text the ids of its pre-tokens."""
+        ranks[added] = -1
+        held = np.flatnonzero(ranks >= 0)
+        r = ranks[held]
+        size = np.zeros(len(words), np.int64)
+        size[held] = cut[r + 1] - cut[r]
+        merged = dict(zip(added, ([self.v.added[words[k][len(MARK) :]]] for k in added)))
+        missing = [k for k in np.flatnonzero(ranks < 0).tolist() if k not in merged]
+        merged |= zip(missing, self.v.merge([raw[k] for k in missing]))
+        others = np.array(list(merged), np.int64)
+        size[others] = list(map(len, merged.values()))
+        start = np.cumsum(size) - size
+        ids = np.empty(int(size.sum()), np.int32)
+        ids[ragged(start[held], size[held])] = self.lex.a["ids"][ragged(cut[r].astype(np.int64), size[held])]
+        ids[ragged(start[others], size[others])] = list(chain.from_iterable(merged.values()))
+        self.slot.update(zip(words, range(len(self.slot), len(self.slot) + len(words))))
+        self.start, self.size = np.append(self.start, start + len(self.ids)), np.append(self.size, size)
+        self.ids = np.append(self.ids, ids)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(offsets, ids): the ids of all texts, and where each text's begin and end."""
         split = [self.v.pre_tokens(t) for t in texts]
-        distinct = list(set().union(*split)) if split else []
-        table = dict(zip(distinct, self.ids_of(distinct)))
-        return [[table[w] for w in s] for s in split]
-
-    def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.v.bytes_of.__getitem__, ids)).decode("utf-8", errors="replace")
+        if len(self.slot) > CACHED:
+            self.forget()
+        self.learn([w for w in set().union(*split) if w not in self.slot])
+        cut = np.cumsum([0, *map(len, split)])
+        word = np.fromiter(map(self.slot.__getitem__, chain.from_iterable(split)), np.int64, cut[-1])
+        size = self.size[word]
+        return np.append(0, np.cumsum(size))[cut], self.ids[ragged(self.start[word], size)]
+
+    def decode(self, offsets: np.ndarray, ids: np.ndarray) -> list[str]:
+        """The text of each slice of ids; bytes that are not UTF-8 become replacement characters."""
+        size = self.v.token_size[ids]
+        data = self.v.token_bytes[ragged(self.v.token_start[ids], size)].tobytes()
+        cut = np.append(0, np.cumsum(size))[offsets].tolist()
+        return [data[a:b].decode("utf-8", errors="replace") for a, b in zip(cut[:-1], cut[1:])]
 
 
 def lexicon(docs: DataFrame, vocab_path: str, text_col: str = "text", words: int = LEXICON_WORDS) -> bytes:
@@ -264,32 +316,45 @@ def lexicon(docs: DataFrame, vocab_path: str, text_col: str = "text", words: int
     spec = spark.sparkContext.broadcast(open(vocab_path, encoding="utf-8").read())
 
     def count(batches):
-        v = Vocabulary(json.loads(spec.value))
-        for b in pieces(batches, 8 << 20):
-            got: dict[str, int] = {}
+        v, got = vocabulary_of(spec.value), Counter()
+        for b in pieces(batches):
             for t in b.column("text").to_pylist():
-                for w in v.pre_tokens(t or ""):
-                    got[w] = got.get(w, 0) + 1
-            got = {w: n for w, n in got.items() if len(w) < 256}
-            yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.string()), pa.array(list(got.values()), pa.int64())], ["w", "n"])
+                got.update(v.pre_tokens(t or ""))
+            if len(got) > CACHED:
+                yield counts(got)
+                got = Counter()
+        yield counts(got)
 
     counted = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    top = counted.where(F.col("n") >= LEAST_COUNT).orderBy(F.desc("n"), "w").limit(words).collect()
+    # A sorted exchange, of which the first partitions are read: a top-k would bring that many words of every partition to the driver.
+    fallback = "spark.sql.execution.topKSortFallbackThreshold"
+    before = spark.conf.get(fallback)
+    spark.conf.set(fallback, "1")
+    try:
+        top = counted.where(F.col("n") >= LEAST_COUNT).orderBy(F.desc("n"), "w").limit(words).collect()
+    finally:
+        spark.conf.set(fallback, before)
     found = sorted(r["w"].encode() for r in top if not r["w"].startswith(MARK))
     return Transducer.compile(found, vocabulary(vocab_path).merge(found)).pack()
 
 
+def counts(got: Counter) -> pa.RecordBatch:
+    """Counted words of under 256 characters."""
+    kept = [w for w in got if len(w) < 256]
+    return pa.RecordBatch.from_arrays([pa.array(kept, pa.string()), pa.array([got[w] for w in kept], pa.int64())], ["w", "n"])
+
+
 def bpe_encode(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text", words: int = LEXICON_WORDS) -> DataFrame:
     """Encode and decode every text: doc_id, ids (array), decoded."""
     data = docs.sparkSession.sparkContext.broadcast((open(vocab_path, encoding="utf-8").read(), lexicon(docs, vocab_path, text_col, words)))
     fields = "doc_id {}, ids array<int>, decoded string".format(docs.schema[id_col].dataType.simpleString())
 
     def encode(batches):
-        spec, packed = data.value
-        coder = Encoder(Vocabulary(json.loads(spec)), Transducer.mapped(packed))
+        coder = encoder_of(*data.value)
         for b in pieces(batches):
-            rows = [[i for word in doc for i in word] for doc in coder.encode([t or "" for t in b.column("text").to_pylist()])]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(rows, pa.list_(pa.int32())), pa.array(list(map(coder.decode, rows)), pa.string())], ["doc_id", "ids", "decoded"])
+            at, ids = coder.encode([t or "" for t in b.column("text").to_pylist()])
+            rows = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), rows, pa.array(coder.decode(at, ids), pa.string())], ["doc_id", "ids", "decoded"])
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(encode, fields)
 
