@@ -119,41 +119,38 @@ class Vocabulary:
                     out[k] = ids
         return out
 
+    def _pairs(self, ids: np.ndarray, word: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rank, merged id) of the pairs that begin at these places; FAR where nothing merges."""
+        after = np.minimum(where + 1, len(ids) - 1)
+        key = ids[where] << 20 | ids[after]
+        at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
+        good = (self.pair[at] == key) & (word[where] == word[after]) & (after > where)
+        return np.where(good, self.rank[at], FAR), self.made[at]
+
     def _merge(self, words: list[bytes]) -> list[list[int]]:
         sizes = np.array([len(w) for w in words], np.int64)
         ids = self.byte_id[np.frombuffer(b"".join(words), np.uint8)]
         word = np.repeat(np.arange(len(words)), sizes)
+        rank, made = self._pairs(ids, word, np.arange(len(ids)))
         done: list = []
-        far = np.int64(1 << 40)
-        while len(ids) > 1:
-            key = ids[:-1] << 20 | ids[1:]
-            at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
-            rank = np.where((self.pair[at] == key) & (word[:-1] == word[1:]), self.rank[at], far)
+        while len(ids):
             first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-            least = np.minimum.reduceat(np.append(rank, far), first)
-            live = least < far
+            least = np.minimum.reduceat(rank, first)
             span = np.diff(np.append(first, len(ids)))
-            each_live = np.repeat(live, span)
-            if not live.all():
-                done.append((word[~each_live], ids[~each_live]))
-            if not live.any():
-                ids = ids[:0]
-                break
-            hit = np.append(rank, far) == np.repeat(least, span)
-            hit &= each_live
+            keep = np.repeat(least < FAR, span)  # words with no pair left are done
+            done.append((word[~keep], ids[~keep]))
+            spot = np.flatnonzero((rank == np.repeat(least, span)) & keep)
             # of overlapping places (a a a) the leftmost counts: keep every second of a run
-            spot = np.flatnonzero(hit)
             if len(spot) > 1:
                 fresh = np.concatenate([[True], np.diff(spot) != 1])
                 run = np.maximum.accumulate(np.where(fresh, np.arange(len(spot)), 0))
                 spot = spot[(np.arange(len(spot)) - run) % 2 == 0]
-            ids = ids.copy()
-            ids[spot] = self.made[at[spot]]
-            keep = each_live.copy()
+            ids[spot] = made[spot]
             keep[spot + 1] = False
-            ids, word = ids[keep], word[keep]
-        if len(ids):
-            done.append((word, ids))
+            now = np.cumsum(keep)[spot] - 1
+            ids, word, rank, made = ids[keep], word[keep], rank[keep], made[keep]
+            touched = np.concatenate([now, now[now > 0] - 1])  # only these pairs changed
+            rank[touched], made[touched] = self._pairs(ids, word, touched)
         word = np.concatenate([w for w, _ in done]) if done else np.zeros(0, np.int64)
         ids = np.concatenate([i for _, i in done]) if done else np.zeros(0, np.int64)
         order = np.argsort(word, kind="stable")
@@ -161,6 +158,7 @@ class Vocabulary:
         return [ids[a:b] for a, b in zip(cut[:-1], cut[1:])]
 
 
+FAR = np.int64(1 << 40)  # more than any rank
 MARK = "\0\0added:"
 
 
