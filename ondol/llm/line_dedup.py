@@ -1,7 +1,8 @@
 """Line dedup by a deletion-neighbourhood join, with DataFrame functions only.
 
 A line is dropped when an earlier line of the corpus, in the order (id, place in the text), is
-equal to it or within one edit of it; an edit replaces, inserts or deletes one word; words are what single spaces part.  Lines under
+equal to it or within one edit of it; an edit replaces, inserts or deletes one word.  Words are parted
+by white space of any kind and length, which counts for nothing else.  Lines under
 min_words words are never dropped; lines under near_words words only when equal.
 
 1. Equal lines meet by a 128-bit hash of their words; the grouped minimum names the first.
@@ -33,6 +34,15 @@ MIN_WORDS = 5
 NEAR_WORDS = 10
 
 
+def lines_of(text_col: str) -> Column:
+    """The lines of a text, as words with one space between."""
+    text = F.col(text_col)
+    odd = text.contains("  ")
+    for c in "\t\v\f\r":
+        odd = odd | text.contains(c)
+    return F.transform(F.split(F.when(odd, F.regexp_replace(text, r"[\x20\x09\x0B-\x0D]+", " ")).otherwise(text), "\n"), lambda line: F.trim(line))
+
+
 def words_of_line(line: Column) -> Column:
     return F.split(line, " ")
 
@@ -49,12 +59,12 @@ def half_keys(words: Column, n: Column) -> Column:
 
 def numbered_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int, near_words: int) -> DataFrame:
     """(id, row, pos, n, h1, h2, halves) of every line with min_words words or more."""
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("row"), F.posexplode(F.split(text_col, "\n")).alias("pos", "line"))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("row"), F.posexplode(lines_of(text_col)).alias("pos", "line"))
     words = F.col("words")
     n = F.size(words)
     return (
         rows.select("id", "row", "pos", "line", words_of_line(F.col("line")).alias("words"))
-        .where(n >= min_words)
+        .where((n >= min_words) & (F.col("line") != ""))
         .select("id", "row", "pos", n.alias("n"), F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"), F.when(n >= near_words, half_keys(words, n)).alias("halves"))
     )
 
@@ -77,7 +87,7 @@ def near_dropped(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: st
     able = halves.join(shared, "half").select("h1").distinct()
     able = distinct.join(able, "h1").select("h1", "h2", "first")
     places = write_out(able.groupBy(F.col("first.row").alias("row")).agg(F.collect_set(F.struct("first.pos", "first", "h1", "h2")).alias("places")), "line-places")
-    texts = docs.select(F.xxhash64(id_col, text_col).alias("row"), F.split(text_col, "\n").alias("lines")).join(places, "row").select("lines", F.explode("places").alias("p"))
+    texts = docs.select(F.xxhash64(id_col, text_col).alias("row"), lines_of(text_col).alias("lines")).join(places, "row").select("lines", F.explode("places").alias("p"))
     able = write_out(
         texts.select("p.first", "p.h1", "p.h2", words_of_line(F.element_at("lines", F.col("p.pos") + 1)).alias("words")).dropDuplicates(["h1", "h2"]),
         "line-able",

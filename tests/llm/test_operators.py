@@ -94,6 +94,16 @@ def test_line_dedup_sql(docs):
     assert dropped[1] == 0 and dropped[2] == 1 and dropped[3] == 1 and dropped[9] == 2
 
 
+def test_line_dedup_white_space(spark):
+    line = prose(12)
+    w = line.split(" ")
+    odd = [line + " ", line + "\r", "  " + line, line.replace(" ", "  ", 3), "\t".join(w), " \v".join(w) + "\f", "\t".join(["new", *w[1:]]), "\t".join(w[:6])]
+    texts = [line, *odd, " ".join(w[:6]) + "  ", "\n \n\t\n", "\n \n"]
+    got = line_dedup.line_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).toPandas().set_index("doc_id").sort_index()
+    assert got._n_dropped.tolist() == [0, 1, 1, 1, 1, 1, 1, 1, 0, 1, 0, 0]
+    assert got.text[8] == texts[8] and got.text[9] == "" and got.text[10] == texts[10]
+
+
 def test_quality_sql(docs):
     got = quality.quality_rules(docs).toPandas()
     same(got.drop(columns=["kept"]), sql(quality.ORACLE_SQL, docs).drop(columns=["kept"]))
