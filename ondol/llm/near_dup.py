@@ -28,7 +28,7 @@ that joins components is lost, and no bucket emits all its pairs.  Since a text
 text, a share of 1 / 2(d + 1) of all rows.
 
 Nulls and odd inputs: a null or wordless text has an empty set and links with nothing; rows that
-repeat an id are separate texts; component_id is the smallest non-null id of the component; an empty
+repeat an id are separate texts, fetched by id and a hash of the text; component_id is the smallest non-null id of the component; an empty
 table gives no rows; texts of any length are taken whole.
 """
 
@@ -110,7 +110,7 @@ def band_keys(code: np.ndarray, at: np.ndarray, t: float) -> tuple[np.ndarray, n
 
 
 def sketches(docs: DataFrame, k: int, t: float) -> DataFrame:
-    """(id, n, set1, set2, keys) of every text; set1 and set2 identify the set."""
+    """(id, body, n, set1, set2, keys) of every text; set1 and set2 identify the set, body the text."""
 
     def sketch(batches):
         for b in pieces(batches):
@@ -126,10 +126,10 @@ def sketches(docs: DataFrame, k: int, t: float) -> DataFrame:
             doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
             odd = np.bincount(doc * 512 + (mixed(code + U(3)) >> U(55)).astype(np.int64), minlength=512 * (len(at) - 1)).astype(np.uint8) & 1
             dense = np.packbits(odd).view(np.int64).reshape(-1, len(BITS))
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(np.diff(at)), *sums, lists, *(pa.array(dense[:, i]) for i in range(len(BITS)))], ["id", "n", "set1", "set2", "keys", *BITS])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("body"), pa.array(np.diff(at)), *sums, lists, *(pa.array(dense[:, i]) for i in range(len(BITS)))], ["id", "body", "n", "set1", "set2", "keys", *BITS])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(sketch, f"id {kind}, n long, set1 long, set2 long, keys array<long>, " + ", ".join(f"{b} long" for b in BITS))
+    return docs.mapInArrow(sketch, f"id {kind}, body long, n long, set1 long, set2 long, keys array<long>, " + ", ".join(f"{b} long" for b in BITS))
 
 
 def close(x: str, y: str, t: float):
@@ -185,7 +185,7 @@ def components(links: DataFrame, most_rounds: int = 64) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8, pivots: int = 2) -> DataFrame:
     """One row per text: id, n_shingles, component_id."""
     t = similarity
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("body"))
     sets = sketches(rows, k, t)
     # one representative per set; a set is named by set1, of which set2 is the check digit
     each = write_out(sets, "dup-sets")
@@ -196,16 +196,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ranked = keyed.select("key", "set1", F.first("set1").over(bucket.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("first"), F.lead("set1").over(bucket).alias("after"))
     shared = write_out(ranked.where(F.col("after").isNotNull() | (F.col("first") != F.col("set1"))).select("key", "set1", "first"), "dup-buckets")
     members = shared.select("set1").distinct()
-    chosen = full.groupBy("set1").agg(F.min(F.struct("id", "n", *BITS)).alias("r")).join(members, "set1", "left_semi")
+    chosen = full.groupBy("set1").agg(F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "body", "n", *BITS)).alias("r")).join(members, "set1", "left_semi")
     chosen = write_out(chosen.select("set1", "r.*"), "dup-chosen")
     shapes = chosen.select("set1", "n", *BITS)
     tested = shared.where("first != set1").select(F.col("first").alias("a"), F.col("set1").alias("b")).distinct()
     tested = write_out(allowed(tested, shapes, t), "dup-pairs")
-    wanted = chosen.select("set1", F.col("id").alias("key_id"))
+    wanted = chosen.select("set1", F.col("id").alias("key_id"), F.col("body").alias("key_body"))
 
     def check(pairs: DataFrame) -> DataFrame:
         some = wanted.join(pairs.select(F.col("a").alias("set1")).union(pairs.select("b")).distinct(), "set1", "left_semi")
-        texts = rows.join(some.hint("merge"), rows["id"].eqNullSafe(some["key_id"])).select("set1", "text").dropDuplicates(["set1"])
+        texts = rows.join(some.hint("merge"), rows["id"].eqNullSafe(some["key_id"]) & (rows["body"] == some["key_body"])).select("set1", "text").dropDuplicates(["set1"])
         return write_out(verified(pairs, texts, k, t), "dup-links")
 
     links = check(tested)

@@ -87,6 +87,15 @@ def test_near_duplicates(docs, k, t):
     assert got == {i: (len(sets[i]), root[i]) for i in sets}
 
 
+def test_near_duplicates_shared_ids(spark):
+    own = [prose(90) for _ in range(12)]
+    near = [t.rsplit(" ", 1)[0] + " other" for t in own]
+    rows = [(None if i < 6 else 50, t) for i, t in enumerate(own)] + [(i, t) for i, t in enumerate(near)]
+    found = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = Counter((r.id, r.component_id) for r in found)
+    assert got == Counter([(None if i < 6 else 50, i) for i in range(12)] + [(i, i) for i in range(12)])
+
+
 def test_line_dedup_sql(docs):
     got = line_dedup.line_dedup(docs).where("text is not null")
     assert got.columns[:4] == docs.columns
