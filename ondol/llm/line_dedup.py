@@ -142,8 +142,8 @@ def op3_line_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: keep the other lines; a text that loses all its words goes."""
-    found = line_dedup(docs)
+    """Pipeline stage: keep the other lines; a text that loses all its words goes.  Short lines are dropped too, or a copy would stay as their stub."""
+    found = line_dedup(docs, min_words=1)
     return found.where((F.col("_n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(docs.columns)
 
 

@@ -113,6 +113,14 @@ def test_line_dedup_white_space(spark):
     assert got.text[8] == texts[8] and got.text[9] == "" and got.text[10] == texts[10]
 
 
+def test_line_dedup_stage(spark):
+    text = prose(12) + "\nAll rights reserved.\n\nword"
+    rows = [(1, text, "a"), (2, text, "b"), (3, "word\n\nnew", "c"), (4, None, "d"), (5, " ", "e"), (6, "word", "f")]
+    got = line_dedup.stage(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), "")
+    assert got.columns == ["doc_id", "text", "source"]
+    assert sorted(map(tuple, got.collect())) == [rows[0], (3, "\nnew", "c"), rows[3], rows[4]]
+
+
 def test_quality_sql(docs):
     got = quality.quality_rules(docs).toPandas()
     same(got.drop(columns=["kept"]), sql(quality.ORACLE_SQL, docs).drop(columns=["kept"]))
