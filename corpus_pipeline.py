@@ -24,7 +24,7 @@ STAGES = [
     ("bpe", encode),
 ]
 
-ORACLE_SQL = None  # a fitted classifier is not SQL; tests hold the stages against brute force
+ORACLE_SQL = None  # a fitted classifier is not SQL; tests hold the stages and their order against planted rows
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
