@@ -19,6 +19,7 @@ class Spark:
     none_in = staticmethod(lambda words, text: f"NOT exists({words}, w -> contains({text}, w))")
     keep_long = staticmethod(lambda words, n, stop: f"filter({words}, w -> length(w) >= {n} AND w NOT IN ({stop}))")
     size = staticmethod(lambda x: f"size({x})")
+    distinct = staticmethod(lambda x: f"array_distinct({x})")
     numbers = staticmethod(lambda n: f"sequence(0, {n - 1})")
 
 
@@ -38,4 +39,5 @@ class Duck:
     none_in = staticmethod(lambda words, text: f"len(list_filter({words}, lambda w: contains({text}, w))) = 0")
     keep_long = staticmethod(lambda words, n, stop: f"list_filter({words}, lambda w: length(w) >= {n} AND w NOT IN ({stop}))")
     size = staticmethod(lambda x: f"len({x})")
+    distinct = staticmethod(lambda x: f"list_distinct({x})")
     numbers = staticmethod(lambda n: f"range({n})")

@@ -6,19 +6,47 @@ PRICE = "cast(round(l_extendedprice * 100) as bigint)"
 
 
 def ranked(d, source: str, keys: str, value: str) -> str:
-    """Rows (keys, value, n, i): i is the 0-based place of each value in its group."""
-    return f"SELECT {keys}, {value} AS x, count(*) OVER (PARTITION BY {keys}) AS n, row_number() OVER (PARTITION BY {keys} ORDER BY {value}) - 1 AS i FROM {source}"
+    """Rows (keys, x, n, i, k): the k equal values x have the 0-based places i to i + k - 1 of the group's n values.
+
+    Spark counts equal values before any shuffle, and finds places in two steps: first of 1024 even ranges
+    of the group's values, then inside each range.  No window holds a whole group, so a group may have most
+    rows of the table.  The oracle numbers all rows.
+    """
+    if d.__name__ == "Duck":
+        return f"SELECT {keys}, {value} AS x, count(*) OVER (PARTITION BY {keys}) AS n, row_number() OVER (PARTITION BY {keys} ORDER BY {value}) - 1 AS i, 1 AS k FROM {source} WHERE {value} IS NOT NULL"
+    names = [k.strip() for k in keys.split(",")]
+    same = lambda a, b: " AND ".join(f"{a}.{k} <=> {b}.{k}" for k in names)
+    of = lambda a: ", ".join(f"{a}.{k}" for k in names)
+    return f"""WITH equal AS (SELECT {keys}, {value} AS x, count(*) AS k FROM {source} WHERE {value} IS NOT NULL GROUP BY {keys}, {value}),
+ends AS (SELECT {keys}, sum(k) AS n, cast(min(x) as double) AS least, cast(max(x) as double) AS most FROM equal GROUP BY {keys}),
+placed AS (SELECT {of('c')}, x, k, n, CASE WHEN most > least THEN cast(floor((cast(x as double) - least) * 1023 / (most - least)) as bigint) ELSE 0 END AS part FROM equal c JOIN ends e ON {same('c', 'e')}),
+parts AS (SELECT {keys}, part, sum(sum(k)) OVER (PARTITION BY {keys} ORDER BY part) - sum(k) AS before FROM placed GROUP BY {keys}, part)
+SELECT {of('c')}, x, n, before + sum(k) OVER (PARTITION BY {of('c')}, c.part ORDER BY x) - k AS i, k FROM placed c JOIN parts p ON {same('c', 'p')} AND c.part = p.part"""
+
+
+def at(place: str) -> str:
+    """The value at a place, over rows of `ranked`."""
+    return f"max(CASE WHEN {place} >= i AND {place} < i + k THEN x END)"
+
+
+def percentiles(d, source: str, keys: str, value: str, **points: float) -> str:
+    """Rows (keys, points): exact percentiles with linear interpolation; the oracle uses its own."""
+    if d.__name__ == "Duck":
+        found = ", ".join(f"quantile_cont({value}, {p}) AS {name}" for name, p in points.items())
+        return f"SELECT {keys}, {found} FROM {source} GROUP BY {keys}"
+    lower = ", ".join(f"{at(f'floor({p} * (n - 1))')} AS {name}_lo, {at(f'ceil({p} * (n - 1))')} AS {name}_hi" for name, p in points.items())
+    mixed = ", ".join(f"{n}_lo + ({n}_hi - {n}_lo) * ({p} * (n - 1) - floor({p} * (n - 1))) AS {n}" for n, p in points.items())
+    return f"SELECT {keys}, {mixed} FROM (SELECT {keys}, max(n) AS n, {lower} FROM ({ranked(d, source, keys, value)}) r GROUP BY {keys}) z"
 
 
 def cost_range_by_type(d):
     li, part = d.table("lineitem"), d.table("part")
+    low, high = f"CASE WHEN n < 4 THEN 0 ELSE {d.div('n', '4')} END", f"CASE WHEN n < 4 THEN n - 1 ELSE {d.div('3 * n', '4')} END"
+    mid = d.div(f"{at(d.div('n - 1', '2'))} + {at(d.div('n', '2'))}", "2")
     return f"""
 WITH v AS (SELECT p_type, {PRICE} AS c FROM {li} JOIN {part} ON l_partkey = p_partkey),
 r AS ({ranked(d, 'v', 'p_type', 'c')}),
-s AS (SELECT p_type, max(n) AS n,
-  max(CASE WHEN i = CASE WHEN n < 4 THEN 0 ELSE {d.div('n', '4')} END THEN x END) AS lo,
-  max(CASE WHEN i = CASE WHEN n < 4 THEN n - 1 ELSE {d.div('3 * n', '4')} END THEN x END) AS hi,
-  {d.div(f"max(CASE WHEN i = {d.div('n - 1', '2')} THEN x END) + max(CASE WHEN i = {d.div('n', '2')} THEN x END)", '2')} AS mid FROM r GROUP BY p_type)
+s AS (SELECT p_type, max(n) AS n, {at(low)} AS lo, {at(high)} AS hi, {mid} AS mid FROM r GROUP BY p_type)
 SELECT p_type, n AS n_values, CASE WHEN mid > 0 AND hi > lo * 1.8 THEN greatest(lo, {d.long('mid / sqrt(1.8)')}) ELSE lo END AS low, mid,
   CASE WHEN mid > 0 AND hi > lo * 1.8 THEN least(hi, {d.long('mid * sqrt(1.8)')}) ELSE hi END AS high FROM s"""
 
@@ -29,9 +57,9 @@ def unit_prices(d, spread: int = 20):
   FROM {li} JOIN {part} ON l_partkey = p_partkey JOIN {orders} ON l_orderkey = o_orderkey WHERE l_quantity > 0),
 q AS (SELECT p_brand, p_type, count(DISTINCT o_custkey) AS requests FROM v GROUP BY p_brand, p_type),
 r AS ({ranked(d, 'v', 'p_brand, p_type', 'c')}),
-u AS (SELECT p_brand, p_type, max(n) AS n, max(CASE WHEN i = {d.div('n', '10')} THEN x END) AS p10,
-  {d.div(f"max(CASE WHEN i = {d.div('n - 1', '2')} THEN x END) + max(CASE WHEN i = {d.div('n', '2')} THEN x END)", '2')} AS median,
-  max(CASE WHEN i = n - 1 - {d.div('n', '10')} THEN x END) AS p90 FROM r GROUP BY p_brand, p_type),
+u AS (SELECT p_brand, p_type, max(n) AS n, {at(d.div('n', '10'))} AS p10,
+  {d.div(f"{at(d.div('n - 1', '2'))} + {at(d.div('n', '2'))}", '2')} AS median,
+  {at(f"(n - 1 - {d.div('n', '10')})")} AS p90 FROM r GROUP BY p_brand, p_type),
 ref AS (SELECT p_brand, p_type, requests, n, p10, median, p90 FROM u JOIN q USING (p_brand, p_type) WHERE requests >= 15 AND p90 < {spread} * p10)"""
 
 
@@ -62,59 +90,17 @@ k AS (SELECT *, 100 * asked >= 40 * total AS covers FROM c), n AS (SELECT count(
 SELECT l_orderkey, asked, total FROM k CROSS JOIN n WHERE covers OR n < 3"""
 
 
-def vector_topk(d):
-    e = d.table("embeddings")
-    return f"""WITH q AS (SELECT vec_id AS query_id, embedding AS qv FROM {e} WHERE vec_id = 0),
-s AS (SELECT query_id, vec_id, round({d.cosine('embedding', 'qv')}, 6) AS similarity FROM {e} CROSS JOIN q WHERE vec_id <> query_id ORDER BY similarity DESC, vec_id LIMIT 15)
-SELECT query_id, vec_id, similarity, row_number() OVER (ORDER BY similarity DESC, vec_id) AS place FROM s"""
-
-
-def leave_out_topk(d):
-    e = d.table("embeddings")
-    return f"""WITH q AS (SELECT vec_id AS query_id, label AS ql, embedding AS qv FROM {e} WHERE vec_id = 0)
-SELECT query_id, vec_id, label, round({d.cosine('embedding', 'qv')}, 6) AS similarity FROM {e} CROSS JOIN q WHERE label <> ql ORDER BY similarity DESC, vec_id LIMIT 15"""
-
-
-def bm25_scores(d, k1="1.5", b="0.75", epsilon="0.25"):
-    """BM25Okapi with its floor for negative idf, over all documents, for the words of benchmark item 0."""
-    doc, item = d.table("documents"), d.table("benchmark")
-    return f"""w AS (SELECT doc_id, {d.explode(d.words('text'))} AS t FROM {doc}),
-tf AS (SELECT doc_id, t, count(*) AS f FROM w GROUP BY doc_id, t),
-len AS (SELECT doc_id, sum(f) AS n FROM tf GROUP BY doc_id), al AS (SELECT count(*) AS docs FROM {doc}), av AS (SELECT sum(n) / max(docs) AS avg_len FROM len CROSS JOIN al),
-df AS (SELECT t, ln((docs - count(*) + 0.5) / (count(*) + 0.5)) AS raw FROM tf CROSS JOIN al GROUP BY t, docs),
-fl AS (SELECT {epsilon} * avg(raw) AS least FROM df), idf AS (SELECT t, CASE WHEN raw < 0 THEN least ELSE raw END AS idf FROM df CROSS JOIN fl),
-q AS (SELECT t, count(*) AS qf FROM (SELECT {d.explode(d.words('text'))} AS t FROM {item} WHERE item_id = 0) z GROUP BY t),
-bm AS (SELECT tf.doc_id, round(sum(qf * idf * f * ({k1} + 1) / (f + {k1} * (1 - {b} + {b} * n / avg_len))), 6) AS score
-  FROM tf JOIN q ON tf.t = q.t JOIN idf ON tf.t = idf.t JOIN len ON tf.doc_id = len.doc_id CROSS JOIN av GROUP BY tf.doc_id)"""
-
-
-def bm25_topk(d):
-    return f"WITH {bm25_scores(d)} SELECT doc_id, score FROM bm ORDER BY score DESC, doc_id LIMIT 20"
-
-
-def rrf_fusion(d):
-    e = d.table("embeddings")
-    return f"""WITH {bm25_scores(d)}, lex AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place FROM (SELECT * FROM bm ORDER BY score DESC, doc_id LIMIT 40) z),
-qv AS (SELECT embedding AS v FROM {e} WHERE vec_id = 0),
-vs AS (SELECT vec_id AS doc_id, round({d.cosine('embedding', 'v')}, 6) AS s FROM {e} CROSS JOIN qv ORDER BY s DESC, doc_id LIMIT 40),
-vec AS (SELECT doc_id, row_number() OVER (ORDER BY s DESC, doc_id) AS place FROM vs),
-a AS (SELECT doc_id, place, place AS vec_place FROM vec UNION ALL SELECT doc_id, place, NULL FROM lex)
-SELECT doc_id, round(sum(1.0 / (60 + place)), 9) AS score, max(vec_place) AS vec_place FROM a GROUP BY doc_id"""
-
-
-def precision_at_k(d):
-    return f"""WITH {bm25_scores(d)}, top AS (SELECT doc_id FROM bm ORDER BY score DESC, doc_id LIMIT 200)
-SELECT count(*) AS returned, count(quality) AS labelled, cast(sum(CASE WHEN quality = 1 THEN 1 ELSE 0 END) as bigint) AS relevant FROM top LEFT JOIN {d.table('labels')} l ON top.doc_id = l.doc_id"""
-
-
 def latest_per_key(d):
     return f"SELECT o_custkey, max(o_orderkey) AS o_orderkey, count(*) AS n_orders FROM {d.table('orders')} GROUP BY o_custkey"
 
 
 def asof_version(d):
+    """For every event the newest version (signup) of its user at that time: newest by (ts, event_id), not by number."""
     e = d.table("events")
+    upto = "OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    last = f"last_value(version IGNORE NULLS) {upto}" if d.__name__ == "Duck" else f"last_value(version) IGNORE NULLS {upto}"
     return f"""WITH v AS (SELECT user_id, ts, CASE WHEN event_type = 'signup' THEN event_id END AS version, event_id FROM {e})
-SELECT event_id, user_id, max(version) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS newest_version FROM v"""
+SELECT event_id, user_id, {last} AS newest_version FROM v"""
 
 
 def subtotal_islands(d):
@@ -146,8 +132,9 @@ def boilerplate_hash(d):
 
 def log_report(d):
     e = d.table("events")
-    return f"""WITH r AS ({ranked(d, f'(SELECT event_type, value FROM {e} WHERE value IS NOT NULL) z', 'event_type', 'value')})
-SELECT event_type, count(*) AS n, round(avg(x), 6) AS avg_value, max(CASE WHEN i = least(cast(floor(0.95 * n) as bigint), n - 1) THEN x END) AS p95, max(x) AS max_value FROM r GROUP BY event_type"""
+    p95 = at("least(cast(floor(0.95 * n) as bigint), n - 1)")
+    return f"""WITH r AS ({ranked(d, e, 'event_type', 'value')})
+SELECT event_type, cast(sum(k) as bigint) AS n, round(sum(x * k) / sum(k), 6) AS avg_value, {p95} AS p95, max(x) AS max_value FROM r GROUP BY event_type"""
 
 
 def bag_difference(d):
@@ -160,10 +147,6 @@ def stratified_round_robin(d):
 SELECT c_custkey, c_mktsegment, turn FROM r WHERE turn <= 5"""
 
 
-def size_gap_histogram(d):
-    return f"SELECT abs(p_size - 25) AS gap, count(*) AS n, cast(sum(CASE WHEN p_retailprice > 1000 THEN 1 ELSE 0 END) as bigint) AS relevant FROM {d.table('part')} GROUP BY abs(p_size - 25)"
-
-
 def status_expire(d):
     return f"""SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' AND o_orderdate < timestamp '1996-01-01' THEN 'expired' WHEN o_orderstatus = 'F' THEN 'contracted' ELSE 'saved' END AS status
 FROM {d.table('orders')}"""
@@ -182,7 +165,6 @@ SELECT o_orderpriority, count(*) AS n, count(mid) AS n_used, round(avg(abs(actua
 
 
 PLANS = (
-    cost_range_by_type, unit_price_reference, price_judgement, extract_costs, value_counts, scope_coverage, vector_topk, leave_out_topk, bm25_topk, rrf_fusion,
-    precision_at_k, latest_per_key, asof_version, subtotal_islands, duplicate_lines, cross_duplicates, lump_sum, vague_terms, boilerplate_hash, log_report,
-    bag_difference, stratified_round_robin, size_gap_histogram, status_expire, ratelimit_windows, accuracy_mape_coverage,
+    cost_range_by_type, unit_price_reference, price_judgement, extract_costs, value_counts, scope_coverage, latest_per_key, asof_version, subtotal_islands, duplicate_lines, cross_duplicates, lump_sum, vague_terms, boilerplate_hash, log_report,
+    bag_difference, stratified_round_robin, status_expire, ratelimit_windows, accuracy_mape_coverage,
 )

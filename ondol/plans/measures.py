@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from .catalogue import PRICE, bm25_scores, ranked, unit_prices
+from .catalogue import PRICE, at, percentiles, ranked, unit_prices
 
 THOUSANDTHS = "cast(floor({} * 1000 + 0.5) as double) / 1000"
-MOST = 15  # results of one query
 
 
 def quantity_reference(d):
@@ -14,8 +13,8 @@ def quantity_reference(d):
     return f"""WITH v AS (SELECT p_brand, p_type, o_custkey, l_quantity / p_size AS q FROM {d.table('lineitem')} JOIN {d.table('part')} ON l_partkey = p_partkey JOIN {d.table('orders')} ON l_orderkey = o_orderkey WHERE p_size > 0 AND l_quantity > 0),
 c AS (SELECT p_brand, p_type, count(DISTINCT o_custkey) AS requests FROM v GROUP BY p_brand, p_type),
 r AS ({ranked(d, 'v', 'p_brand, p_type', 'q')}),
-s AS (SELECT p_brand, p_type, max(n) AS n, (max(CASE WHEN i = {d.div('n - 1', '2')} THEN x END) + max(CASE WHEN i = {d.div('n', '2')} THEN x END)) / 2 AS mid,
-  max(CASE WHEN i = n - 1 - {d.div('n', '10')} THEN x END) AS high FROM r GROUP BY p_brand, p_type)
+s AS (SELECT p_brand, p_type, max(n) AS n, ({at(d.div('n - 1', '2'))} + {at(d.div('n', '2'))}) / 2 AS mid,
+  {at(f"(n - 1 - {d.div('n', '10')})")} AS high FROM r GROUP BY p_brand, p_type)
 SELECT p_brand, p_type, n, {r3('mid')} AS median, {r3('high')} AS p90 FROM s JOIN c USING (p_brand, p_type) WHERE requests >= 15"""
 
 
@@ -29,37 +28,6 @@ SELECT l_orderkey, direction, n_compared, count(*) AS n_off, max(CASE WHEN i = 1
 WHERE direction IS NOT NULL GROUP BY l_orderkey, direction, n_compared HAVING n_compared >= 2 AND 2 * count(*) >= n_compared"""
 
 
-def staged_retrieval(d):
-    """For every part, the first stage (brand and type with size within 6; type with size; type; all) that finds 3 others.
-
-    Stages are settled on cells (type, brand, size), so the plan joins counts and not parts.
-    """
-    return f"""WITH c AS (SELECT p_type, p_brand, p_size, count(*) AS n FROM {d.table('part')} GROUP BY p_type, p_brand, p_size),
-t AS (SELECT p_type, p_size, sum(n) AS n FROM c GROUP BY p_type, p_size),
-s1 AS (SELECT a.p_type, a.p_brand, a.p_size, sum(b.n) - 1 AS n1 FROM c a JOIN c b ON a.p_type = b.p_type AND a.p_brand = b.p_brand AND abs(a.p_size - b.p_size) <= 6 GROUP BY a.p_type, a.p_brand, a.p_size),
-s2 AS (SELECT a.p_type, a.p_size, sum(b.n) - 1 AS n2 FROM t a JOIN t b ON a.p_type = b.p_type AND abs(a.p_size - b.p_size) <= 6 GROUP BY a.p_type, a.p_size),
-s3 AS (SELECT p_type, sum(n) - 1 AS n3 FROM t GROUP BY p_type), s4 AS (SELECT sum(n) - 1 AS n4 FROM t),
-k AS (SELECT p_type, p_brand, p_size, n1, n2, n3, n4 FROM s1 JOIN s2 USING (p_type, p_size) JOIN s3 USING (p_type) CROSS JOIN s4)
-SELECT p_partkey, CASE WHEN n1 >= 3 THEN 1 WHEN n2 >= 3 THEN 2 WHEN n3 >= 3 THEN 3 ELSE 4 END AS stage,
-  cast(CASE WHEN n1 >= 3 THEN n1 WHEN n2 >= 3 THEN n2 WHEN n3 >= 3 THEN n3 ELSE n4 END as bigint) AS n_found FROM {d.table('part')} JOIN k USING (p_type, p_brand, p_size)"""
-
-
-def vector_topk_postfilter(d):
-    """The filter comes after the 150 nearest, so fewer than asked for may be left."""
-    e = d.table("embeddings")
-    return f"""WITH q AS (SELECT embedding AS qv FROM {e} WHERE vec_id = 0),
-s AS (SELECT vec_id, label, round({d.cosine('embedding', 'qv')}, 6) AS similarity FROM {e} CROSS JOIN q WHERE vec_id <> 0 ORDER BY similarity DESC, vec_id LIMIT 150)
-SELECT vec_id, label, similarity FROM s WHERE label <> 1 ORDER BY similarity DESC, vec_id LIMIT {MOST}"""
-
-
-def pool_recall(d):
-    """By language and over all: relevant in the first 50 of the pool of 200, precision (micro) and recall."""
-    return f"""WITH {bm25_scores(d)}, top AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place FROM (SELECT * FROM bm ORDER BY score DESC, doc_id LIMIT 200) z),
-p AS (SELECT place, lang, quality FROM top JOIN {d.table('documents')} d ON top.doc_id = d.doc_id LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM {d.table('labels')} GROUP BY doc_id) l ON top.doc_id = l.doc_id)
-SELECT coalesce(lang, 'none') AS lang, count(*) AS pooled, cast(sum(CASE WHEN place <= 50 AND quality = 1 THEN 1 ELSE 0 END) as bigint) AS hits, cast(sum(CASE WHEN quality = 1 THEN 1 ELSE 0 END) as bigint) AS relevant,
-  cast(sum(CASE WHEN place <= 50 AND quality IS NOT NULL THEN 1 ELSE 0 END) as bigint) AS judged FROM p GROUP BY coalesce(lang, 'none')"""
-
-
 def prefix_match(d):
     """Does a proper prefix of an order's lines sum to its total, give or take 1000 units."""
     return f"""WITH l AS (SELECT l_orderkey, sum({PRICE}) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto,
@@ -76,24 +44,27 @@ def required_missing(d):
 
 
 def percentile_interp(d):
-    return f"SELECT event_type, round({d.percentile('value', 0.5)}, 6) AS p50, round({d.percentile('value', 0.95)}, 6) AS p95 FROM {d.table('events')} WHERE value IS NOT NULL GROUP BY event_type"
+    found = percentiles(d, d.table("events"), "event_type", "value", p50=0.5, p95=0.95)
+    return f"SELECT event_type, round(p50, 6) AS p50, round(p95, 6) AS p95 FROM ({found}) z WHERE p50 IS NOT NULL"
 
 
 def load_levels(d):
     """Users as load levels (id modulo 5): calls, successes, error share, throughput a minute and latency of successes."""
-    ok = "CASE WHEN event_type <> 'error' THEN value END"
-    return f"""WITH g AS (SELECT user_id % 5 AS level, count(*) AS calls, cast(sum(CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END) as bigint) AS success, max({d.seconds('ts')}) - min({d.seconds('ts')}) AS window_s,
-  round({d.percentile(ok, 0.5)}, 6) AS p50, round({d.percentile(ok, 0.9)}, 6) AS p90, round({d.percentile(ok, 0.95)}, 6) AS p95, max({ok}) AS most FROM {d.table('events')} GROUP BY user_id % 5)
-SELECT level, calls, success, round(1 - cast(success as double) / calls, 6) AS error_rate, round(cast(success as double) * 60 / greatest(window_s, 1), 6) AS per_minute, p50, p90, p95, most FROM g"""
+    calls = f"(SELECT user_id % 5 AS level, CASE WHEN event_type <> 'error' THEN value END AS ms, event_type, ts FROM {d.table('events')}) y"
+    return f"""WITH p AS ({percentiles(d, calls, 'level', 'ms', p50=0.5, p90=0.9, p95=0.95)}),
+g AS (SELECT level, count(*) AS calls, cast(sum(CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END) as bigint) AS success, max({d.seconds('ts')}) - min({d.seconds('ts')}) AS window_s, max(ms) AS most FROM {calls} GROUP BY level)
+SELECT g.level, calls, success, round(1 - cast(success as double) / calls, 6) AS error_rate, round(cast(success as double) * 60 / greatest(window_s, 1), 6) AS per_minute,
+  round(p50, 6) AS p50, round(p90, 6) AS p90, round(p95, 6) AS p95, most FROM g LEFT JOIN p ON g.level = p.level"""
 
 
 def score_summary(d):
     """Line sums as predictions of order totals: median absolute error, sides, and hits within 20 %; an order without lines is a miss."""
     return f"""WITH s AS (SELECT l_orderkey, sum({PRICE}) AS mid FROM {d.table('lineitem')} GROUP BY l_orderkey),
 j AS (SELECT o_orderpriority, mid, cast(round(o_totalprice * 100) as bigint) AS actual FROM {d.table('orders')} LEFT JOIN s ON o_orderkey = l_orderkey),
-e AS (SELECT *, cast(abs(mid - actual) as double) / greatest(actual, 1) AS err FROM j)
-SELECT o_orderpriority, count(*) AS n, round({d.percentile('err', 0.5)}, 6) AS median_error, cast(sum(CASE WHEN mid > actual THEN 1 ELSE 0 END) as bigint) AS n_over, cast(sum(CASE WHEN mid < actual THEN 1 ELSE 0 END) as bigint) AS n_under,
-  round(cast(sum(CASE WHEN 5 * abs(mid - actual) <= actual THEN 1 ELSE 0 END) as double) / count(*), 6) AS hit_rate FROM e GROUP BY o_orderpriority"""
+e AS (SELECT *, cast(abs(mid - actual) as double) / greatest(actual, 1) AS err FROM j),
+p AS ({percentiles(d, 'e', 'o_orderpriority', 'err', median_error=0.5)})
+SELECT e.o_orderpriority, count(*) AS n, round(max(median_error), 6) AS median_error, cast(sum(CASE WHEN mid > actual THEN 1 ELSE 0 END) as bigint) AS n_over, cast(sum(CASE WHEN mid < actual THEN 1 ELSE 0 END) as bigint) AS n_under,
+  round(cast(sum(CASE WHEN 5 * abs(mid - actual) <= actual THEN 1 ELSE 0 END) as double) / count(*), 6) AS hit_rate FROM e LEFT JOIN p ON e.o_orderpriority = p.o_orderpriority GROUP BY e.o_orderpriority"""
 
 
 def bootstrap_ci(d):
@@ -139,6 +110,6 @@ def row_counts(d):
 
 
 PLANS = (
-    quantity_reference, price_issues, staged_retrieval, vector_topk_postfilter, pool_recall, prefix_match, required_missing, percentile_interp, load_levels,
+    quantity_reference, price_issues, prefix_match, required_missing, percentile_interp, load_levels,
     score_summary, bootstrap_ci, multiset_match, regression_residuals, ttl_expiry, keyed_lookup, row_counts,
 )

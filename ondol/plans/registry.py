@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from ..functions.dialect import Duck, Spark
-from . import catalogue, ingest, measures, reports
+from . import catalogue, ingest, measures, reports, retrieval
 
 
 def query(plan):
@@ -18,6 +18,6 @@ def query(plan):
     return run
 
 
-PLANS = (*catalogue.PLANS, *ingest.PLANS, *measures.PLANS, *reports.PLANS)
+PLANS = (*catalogue.PLANS, *ingest.PLANS, *measures.PLANS, *reports.PLANS, *retrieval.PLANS)
 QUERIES = {plan.__name__: query(plan) for plan in PLANS}
 ORACLE_SQL = {plan.__name__: plan(Duck) for plan in PLANS}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .catalogue import PRICE, cost_range_by_type, duplicate_lines, lump_sum
+from .catalogue import PRICE, cost_range_by_type, duplicate_lines, lump_sum, percentiles
 from .ingest import validation
 from .measures import price_issues
 
@@ -39,8 +39,9 @@ def risk_report(d):
 def issue_stats(d):
     """Issues a quote over the corpus, and the share of quotes with each kind."""
     share = lambda c: f"round(100.0 * sum(CASE WHEN {c} > 0 THEN 1 ELSE 0 END) / count(*), 6)"
-    return f"""WITH {issues(d)} SELECT count(*) AS quotes, round({d.percentile('n_issues', 0.5)}, 6) AS median_issues, round(avg(n_issues), 6) AS mean_issues,
-  cast({share('n_duplicate')} as double) AS pct_duplicate, cast({share('n_lump')} as double) AS pct_lump, cast({share('n_price')} as double) AS pct_price FROM card"""
+    half = percentiles(d, "(SELECT 1 AS one, n_issues FROM card) y", "one", "n_issues", mid=0.5)
+    return f"""WITH {issues(d)}, p AS ({half}) SELECT count(*) AS quotes, round(max(mid), 6) AS median_issues, round(avg(n_issues), 6) AS mean_issues,
+  cast({share('n_duplicate')} as double) AS pct_duplicate, cast({share('n_lump')} as double) AS pct_lump, cast({share('n_price')} as double) AS pct_price FROM card CROSS JOIN p"""
 
 
 def validation_rollup(d):
@@ -91,9 +92,9 @@ def range_validity(d):
 
 
 def first_number(d):
-    """The first run of digits, as its first 6; 0 without one."""
+    """The first run of digits, whole, as a number; 0 without one, null where it has more than 38 digits."""
     found = "regexp_extract(text, '[0-9]+', 0)"
-    return f"SELECT doc_id, cast(CASE WHEN {found} = '' THEN '0' ELSE substr({found}, 1, 6) END as bigint) AS number FROM {d.table('documents')} WHERE text IS NOT NULL"
+    return f"SELECT doc_id, cast(CASE WHEN {found} = '' THEN 0 ELSE try_cast({found} as decimal(38, 0)) END as varchar(40)) AS number FROM {d.table('documents')} WHERE text IS NOT NULL"
 
 
 PLANS = (
