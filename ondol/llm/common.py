@@ -63,6 +63,14 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def temporary(df: DataFrame, name: str) -> str:
+    """A column name like the given one that df does not have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def remainder(id_col: str, k: int) -> Column:
     """crc32 of the id as text, modulo k; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % k
@@ -94,7 +102,10 @@ def mixed(x: np.ndarray) -> np.ndarray:
 def prefix_sums(buf: np.ndarray) -> np.ndarray:
     """Running polynomial of the bytes, so that any substring hashes in constant time."""
     out = np.zeros(len(buf) + 1, dtype=np.uint64)
-    np.cumsum(BYTE_VALUE[buf] * powers(len(buf)), dtype=np.uint64, out=out[1:])
+    tail = out[1:]
+    np.take(BYTE_VALUE, buf, out=tail)
+    tail *= powers(len(buf))
+    np.cumsum(tail, dtype=np.uint64, out=tail)
     return out
 
 
@@ -103,6 +114,17 @@ def spans_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mixed((sums[ends] - sums[starts]) * powers(len(sums), True)[starts] + (ends - starts).astype(np.uint64))
 
 
+def words_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 17) -> np.ndarray:
+    """spans_hash of spans in ascending order, a block of bytes at a time, for the memory."""
+    out = np.empty(len(starts), np.uint64)
+    cut = np.searchsorted(starts, np.arange(0, len(buf) + block, block))
+    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
+        if a < b:
+            lo, hi = starts[a], ends[b - 1]
+            out[a:b] = spans_hash(prefix_sums(buf[lo:hi]), starts[a:b] - lo, ends[a:b] - lo)
+    return out
+
+
 def grams_hash(sums: np.ndarray, length: int) -> np.ndarray:
     """spans_hash of every substring of the length, in order."""
     x = sums[length:] - sums[:-length]
@@ -155,7 +177,7 @@ def words_of(buf: np.ndarray, at: np.ndarray, letters: np.ndarray = IN_WORD) ->
     cut = inner[inner > 0] - 1
     shuts[cut] = word[cut]
     starts = np.flatnonzero(opens)
-    return spans_hash(prefix_sums(buf), starts, np.flatnonzero(shuts) + 1), starts, np.searchsorted(starts, at)
+    return words_hash(buf, starts, np.flatnonzero(shuts) + 1), starts, np.searchsorted(starts, at)
 
 
 class Lookup:

@@ -21,11 +21,13 @@ from below too; it is compared before any text is.
 Join.  Texts with equal sets are collapsed first, by grouped minimum, so thousands of copies are one
 representative.  Representatives that share a band key form a bucket; within it only pairs with the
 bucket's first are verified, on the texts themselves; what links is one component and needs no
-further pairs.  Buckets that still span components are taken again with their most central member
-(the one with the fullest buckets) as pivot, and in the end across components, where the join itself
-compares the dense sketches: only pairs of different components under the bound leave it.  So no link
-that joins components is lost, and no bucket emits all its pairs.  Since a text emits d + 1 distinct keys, one key can hold at most one row per
-text, a share of 1 / 2(d + 1) of all rows.
+further pairs.  Only buckets that still span components go on: once more with their most central
+member (the one with the fullest buckets) as pivot, and in the end across components, where the join
+itself compares the dense sketches, so that only pairs of different components under the bound leave
+it, and members of a bucket's largest component are not compared with each other.  Components of later
+links are found between the roots of the earlier ones.  So no link that joins components is lost, and
+no bucket emits all its pairs.  Since a text emits d + 1 distinct keys, one key can hold at most one
+row per text.  A key that k texts share of which none link costs k^2 comparisons of sketches.
 
 Nulls and odd inputs: a null or wordless text has an empty set and links with nothing; rows that
 repeat an id are separate texts, fetched by id and a hash of the text; component_id is the smallest non-null id of the component; an empty
@@ -42,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import U, discard, mixed, pieces, text_buffer, words_of, write_out
+from .common import U, discard, mixed, pieces, temporary, text_buffer, words_of, write_out
 
 BITS = [f"b{i}" for i in range(8)]
 SPARE = 0.3  # bands beyond d + 1, as a share of d + 1
@@ -89,15 +91,16 @@ def band_keys(code: np.ndarray, at: np.ndarray, t: float) -> tuple[np.ndarray, n
         band = size_band(size, t) + step
         d = most_different(band, t)
         m = d + 1 + np.ceil(SPARE * (d + 1)).astype(np.int64)
-        m[d == 0] = 1
-        m[size == 0] = 0
+        m[(size == 0) | (d == 0)] = 0  # no difference allowed: equal sets only, and those are collapsed
         base = np.concatenate([[0], np.cumsum(m)])
         doc = np.repeat(np.arange(len(size)), size)
-        place = base[:-1][doc] + (mixed(code + U(0x51ED)) >> U(11)).astype(np.int64) % np.maximum(m[doc], 1)
+        in_band = (m > 0)[doc]
+        doc, code_ = doc[in_band], code[in_band]
+        place = base[:-1][doc] + (mixed(code_ + U(0x51ED)) >> U(11)).astype(np.int64) % m[doc]
         order = np.argsort(place, kind="stable")
         filled, first, full = np.unique(place[order], return_index=True, return_counts=True)
         parity = np.zeros(base[-1], np.uint64)
-        parity[filled] = np.bitwise_xor.reduceat(mixed(code[order] ^ U(0x7F4A7C15)), first) if len(first) else 0
+        parity[filled] = np.bitwise_xor.reduceat(mixed(code_[order] ^ U(0x7F4A7C15)), first) if len(first) else 0
         fullness = np.zeros(base[-1], np.int64)
         fullness[filled] = full
         text = np.repeat(np.arange(len(size)), m)
@@ -110,26 +113,26 @@ def band_keys(code: np.ndarray, at: np.ndarray, t: float) -> tuple[np.ndarray, n
 
 
 def sketches(docs: DataFrame, k: int, t: float) -> DataFrame:
-    """(id, body, n, set1, set2, keys) of every text; set1 and set2 identify the set, body the text."""
+    """(id, body, n, set1, keys) and the dense sketch of every text; set1 names the set, body the text."""
 
     def sketch(batches):
         for b in pieces(batches):
             code, at = shingle_sets(b, k)
-            total = np.concatenate([[0], np.cumsum(mixed(code + U(1)), dtype=np.uint64)])
-            other = np.concatenate([[0], np.cumsum(mixed(code + U(2)), dtype=np.uint64)])
+            total = np.zeros(len(code) + 1, np.uint64)
+            np.cumsum(mixed(code + U(1)), dtype=np.uint64, out=total[1:])
             owner, keys = band_keys(code, at, t)
             order = np.argsort(owner, kind="stable")
             cut = np.searchsorted(owner[order], np.arange(len(at)))
             flat = keys[order].view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(flat))
-            sums = [pa.array((x[at[1:]] - x[at[:-1]]).view(np.int64)) for x in (total.astype(np.uint64), other.astype(np.uint64))]
+            sums = pa.array((total[at[1:]] - total[at[:-1]]).view(np.int64))
             doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
             odd = np.bincount(doc * 512 + (mixed(code + U(3)) >> U(55)).astype(np.int64), minlength=512 * (len(at) - 1)).astype(np.uint8) & 1
             dense = np.packbits(odd).view(np.int64).reshape(-1, len(BITS))
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("body"), pa.array(np.diff(at)), *sums, lists, *(pa.array(dense[:, i]) for i in range(len(BITS)))], ["id", "body", "n", "set1", "set2", "keys", *BITS])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("body"), pa.array(np.diff(at)), sums, lists, *(pa.array(dense[:, i]) for i in range(len(BITS)))], ["id", "body", "n", "set1", "keys", *BITS])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(sketch, f"id {kind}, body long, n long, set1 long, set2 long, keys array<long>, " + ", ".join(f"{b} long" for b in BITS))
+    return docs.mapInArrow(sketch, f"id {kind}, body long, n long, set1 long, keys array<long>, " + ", ".join(f"{b} long" for b in BITS))
 
 
 def close(x: str, y: str, t: float):
@@ -166,86 +169,143 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, t: float) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(judge, "a long, b long")
 
 
-def components(links: DataFrame, most_rounds: int = 64) -> DataFrame:
-    """(node, root): the smallest node reachable, for every node of a link; by label jumping."""
-    edges = write_out(links.select("a", "b").union(links.select("b", "a")).distinct(), "dup-edges").toDF("a", "b")
+def components(links: DataFrame) -> DataFrame:
+    """(node, root): the smallest node reachable, for every node of a link; by label jumping until nothing moves."""
+    edges = write_out(links.select("a", "b").union(links.select("b", "a")).distinct(), "dup-edges")
     label = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("root"))
-    label = write_out(label, "dup-label")
-    for _ in range(most_rounds):
+    written = write_out(label, "dup-label")
+    while True:
+        label = written.select("node", "root")
         near = edges.join(label.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("low"))
         hooked = label.join(near, "node").select("node", F.least("root", "low").alias("up"), F.col("root").alias("old"))
         roots = label.select(F.col("node").alias("up"), F.col("root").alias("far"))
-        jumped = write_out(hooked.join(roots, "up", "left").select("node", F.least("up", F.coalesce("far", "up")).alias("root"), "old"), "dup-label")
-        label = jumped.select("node", "root")
-        if jumped.where("root != old").isEmpty():
-            return label
-    raise RuntimeError("components did not converge")
+        jumped = hooked.join(roots, "up", "left").select("node", F.least("up", F.coalesce("far", "up")).alias("root"), "old")
+        before, written = written, write_out(jumped, "dup-label")
+        discard(before)
+        if written.where("root != old").isEmpty():
+            discard(edges)
+            return written
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8, pivots: int = 2) -> DataFrame:
-    """One row per text: id, n_shingles, component_id."""
+def spanning(named: DataFrame) -> DataFrame:
+    """The rows (key, set1, root) of the buckets that hold several roots."""
+    bucket = Window.partitionBy("key")
+    both = named.select("key", "set1", "root", F.min("root").over(bucket).alias("lo"), F.max("root").over(bucket).alias("hi"))
+    return both.where("lo != hi").select("key", "set1", "root")
+
+
+def renamed(table: DataFrame, step: DataFrame) -> DataFrame:
+    """table with its roots replaced by those that step gives them."""
+    far = step.select(F.col("node").alias("root"), F.col("root").alias("far"))
+    return table.join(far, "root", "left").select(*(F.coalesce("far", "root").alias(c) if c == "root" else F.col(c) for c in table.columns))
+
+
+def through_pivot(open_: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each bucket's most central member with those of other roots."""
+    sizes = open_.groupBy("key").agg(F.count("*").alias("size"))
+    central = open_.join(sizes, "key").groupBy("set1").agg(F.sum("size").alias("weight"))
+    pivot = open_.join(central, "set1").groupBy("key").agg(F.max(F.struct("weight", "set1", "root")).alias("p"))
+    apart = open_.join(pivot, "key").where(F.col("root") != F.col("p.root"))
+    return apart.select(F.least("set1", "p.set1").alias("a"), F.greatest("set1", "p.set1").alias("b")).distinct()
+
+
+def across(open_: DataFrame, shapes: DataFrame, t: float) -> DataFrame:
+    """Pairs (a, b) of different roots in a bucket whose dense sketches allow a link; members of a bucket's largest root don't meet each other."""
+    of_root = open_.groupBy("key", "root").agg(F.count("*").alias("size"))
+    largest = of_root.groupBy("key").agg(F.max(F.struct("size", "root")).alias("m")).select("key", F.col("m.root").alias("major"))
+    shaped = open_.join(largest, "key").join(shapes, "set1")
+    x, y = shaped.where("root != major").alias("x"), shaped.alias("y")
+    once = (F.col("y.root") == F.col("y.major")) | (F.col("x.set1") < F.col("y.set1"))
+    met = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & once & close("x", "y", t)
+    return x.join(y, met).select(F.least("x.set1", "y.set1").alias("a"), F.greatest("x.set1", "y.set1").alias("b")).distinct()
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row per text: id, n_shingles, component_id, body (hash of the text), leader (id and body of the component's first row)."""
     t = similarity
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("body"))
-    sets = sketches(rows, k, t)
-    # one representative per set; a set is named by set1, of which set2 is the check digit
-    each = write_out(sets, "dup-sets")
+    each = write_out(sketches(rows, k, t), "dup-sets")  # a set is named by set1
     full = each.where("n > 0")
-    reps = full.groupBy("set1").agg(F.min("id").alias("low"), F.min("keys").alias("keys"))
-    keyed = reps.select("set1", F.explode("keys").alias("key"))
+    keyed = full.groupBy("set1").agg(F.min("keys").alias("keys")).select("set1", F.explode("keys").alias("key"))
     bucket = Window.partitionBy("key").orderBy("set1")
-    ranked = keyed.select("key", "set1", F.first("set1").over(bucket.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("first"), F.lead("set1").over(bucket).alias("after"))
+    first = F.first("set1").over(bucket.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = keyed.select("key", "set1", first.alias("first"), F.lead("set1").over(bucket).alias("after"))
     shared = write_out(ranked.where(F.col("after").isNotNull() | (F.col("first") != F.col("set1"))).select("key", "set1", "first"), "dup-buckets")
     members = shared.select("set1").distinct()
-    chosen = full.groupBy("set1").agg(F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "body", "n", *BITS)).alias("r")).join(members, "set1", "left_semi")
+    leader = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "body", "n", *BITS))
+    chosen = full.groupBy("set1").agg(leader.alias("r")).join(members, "set1", "left_semi")
     chosen = write_out(chosen.select("set1", "r.*"), "dup-chosen")
     shapes = chosen.select("set1", "n", *BITS)
-    tested = shared.where("first != set1").select(F.col("first").alias("a"), F.col("set1").alias("b")).distinct()
-    tested = write_out(allowed(tested, shapes, t), "dup-pairs")
-    wanted = chosen.select("set1", F.col("id").alias("key_id"), F.col("body").alias("key_body"))
+    wanted = chosen.select("set1", F.col("id").alias("key_id"), F.col("body").alias("key_body")).hint("merge")
+    own = rows["id"].eqNullSafe(wanted["key_id"]) & (rows["body"] == wanted["key_body"])
+    texts = write_out(rows.join(wanted, own).select("set1", "text").dropDuplicates(["set1"]), "dup-texts")
 
     def check(pairs: DataFrame) -> DataFrame:
-        some = wanted.join(pairs.select(F.col("a").alias("set1")).union(pairs.select("b")).distinct(), "set1", "left_semi")
-        texts = rows.join(some.hint("merge"), rows["id"].eqNullSafe(some["key_id"]) & (rows["body"] == some["key_body"])).select("set1", "text").dropDuplicates(["set1"])
-        return write_out(verified(pairs, texts, k, t), "dup-links")
+        needed = pairs.select(F.col("a").alias("set1")).union(pairs.select("b")).distinct()
+        return write_out(verified(pairs, texts.join(needed, "set1", "left_semi"), k, t), "dup-links")
 
+    tested = shared.where("first != set1").select(F.col("first").alias("a"), F.col("set1").alias("b")).distinct()
+    tested = write_out(allowed(tested, shapes, t), "dup-pairs")
     links = check(tested)
-    for step in range(pivots + 1):
-        label = components(links)
-        named = shared.join(label.select(F.col("node").alias("set1"), "root"), "set1", "left").select("key", "set1", F.coalesce("root", "set1").alias("root"))
-        spanning = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
-        open_ = write_out(named.join(spanning, "key"), "dup-open")
-        if step < pivots:
-            sizes = open_.groupBy("key").agg(F.count("*").alias("size"))
-            central = open_.join(sizes, "key").groupBy("set1").agg(F.sum("size").alias("weight"))
-            pivot = open_.join(central, "set1").groupBy("key").agg(F.max(F.struct("weight", "set1", "root")).alias("p"))
-            fresh = open_.join(pivot, "key").where(F.col("root") != F.col("p.root")).select(F.least("set1", "p.set1").alias("a"), F.greatest("set1", "p.set1").alias("b"))
-            fresh = allowed(fresh.distinct(), shapes, t)
-        else:
-            shaped = open_.join(shapes, "set1")
-            x, y = shaped.alias("x"), shaped.alias("y")
-            both = (F.col("x.key") == F.col("y.key")) & (F.col("x.set1") < F.col("y.set1")) & (F.col("x.root") != F.col("y.root")) & close("x", "y", t)
-            fresh = x.join(y, both).select(F.col("x.set1").alias("a"), F.col("y.set1").alias("b")).distinct()
-        fresh = write_out(fresh.join(tested, ["a", "b"], "left_anti"), "dup-pairs")
-        discard(open_)
-        if not fresh.isEmpty():
-            tested, links = tested.union(fresh), links.union(check(fresh))
     label = components(links)
-    lows = reps.select("set1", "low")
-    named = lows.join(label.select(F.col("node").alias("set1"), "root"), "set1", "left").select("set1", "low", F.coalesce("root", "set1").alias("root"))
-    smallest = named.groupBy("root").agg(F.min("low").alias("component"))
-    final = named.join(smallest, "root").select("set1", "component")
-    return each.join(final, "set1", "left").select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component")).alias("component_id"))
+    named = shared.join(label.select(F.col("node").alias("set1"), "root"), "set1", "left").select("key", "set1", F.coalesce("root", "set1").alias("root"))
+    open_ = write_out(spanning(named), "dup-open")
+    discard(links)
+    checked = [tested]
+    for last in (False, True):
+        fresh = across(open_, shapes, t) if last else allowed(through_pivot(open_), shapes, t)
+        for before in checked:
+            fresh = fresh.join(before, ["a", "b"], "left_anti")
+        fresh = write_out(fresh, "dup-pairs")
+        checked.append(fresh)
+        links = check(fresh)
+        root = label.select(F.col("node").alias("set1"), "root")
+        ends = [links.join(root.toDF(end, f"root_{end}"), end, "left").select("a", "b", F.coalesce(f"root_{end}", end).alias(end + end)) for end in "ab"]
+        step = components(ends[0].join(ends[1], ["a", "b"]).select(F.col("aa").alias("a"), F.col("bb").alias("b")).where("a != b"))
+        grown = renamed(label, step).select("node", "root").union(step.join(label, "node", "left_anti").select("node", "root"))
+        before, label = label, write_out(grown, "dup-label")
+        if not last:
+            closed, open_ = open_, write_out(spanning(renamed(open_, step)), "dup-open")
+            discard(closed)
+        discard(before, step, links)
+    root = label.select(F.col("node").alias("set1"), "root")
+    lows = full.groupBy("set1").agg(F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "body")).alias("low"))
+    named = lows.join(root, "set1", "left").select("set1", "low", F.coalesce("root", "set1").alias("root"))
+    final = named.join(named.groupBy("root").agg(F.min("low").alias("leader")), "root").select("set1", "leader")
+    alone = F.col("n") == 0
+    out = each.join(final, "set1", "left").select(
+        "id",
+        F.col("n").alias("n_shingles"),
+        F.when(alone, F.col("id")).otherwise(F.col("leader.id")).alias("component_id"),
+        "body",
+        F.when(~alone, F.struct("leader.id", "leader.body")).alias("leader"),
+    )
+    out = write_out(out, "dup-result")
+    discard(each, shared, chosen, texts, open_, label, *checked)
+    return out
 
 
 def op2_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return near_duplicates(docs, k=4, similarity=0.85).withColumnRenamed("id", "doc_id")
+    found = near_duplicates(docs, k=4, similarity=0.85)
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of every group of near duplicates the text with the smallest id stays; five-word shingles, similarity 0.8."""
-    found = near_duplicates(docs, k=5, similarity=0.8).where(F.col("id").isNotNull() & (F.col("id") != F.col("component_id"))).select(F.col("id").alias("__gone")).distinct()
-    return docs.join(found, F.col("doc_id") == F.col("__gone"), "left_anti").select(docs.columns)
+    """Pipeline stage: of every group of near duplicates one row stays, that with the smallest id and text hash.
+
+    Five-word shingles, similarity 0.8.  Rows are told apart by id and text; of rows equal in both one stays.  A null id
+    sorts last; a text without words stays.
+    """
+    found = near_duplicates(docs, k=5, similarity=0.8).where("leader IS NOT NULL")
+    mine = F.struct("id", "body").eqNullSafe(F.col("leader"))
+    fate = found.groupBy("id", "body").agg(F.count("*").alias("rows"), F.first(mine).alias("leads")).where("rows > 1 OR NOT leads")
+    keys = [temporary(docs, name) for name in ("fate_id", "fate_body", "fate_leads")]
+    fate = fate.select(*(F.col(c).alias(k) for c, k in zip(("id", "body", "leads"), keys)))
+    same = F.col("doc_id").eqNullSafe(F.col(keys[0])) & (F.xxhash64("text") == F.col(keys[1]))
+    judged = docs.join(fate, same, "left")
+    rest = judged.where(F.col(keys[2]).isNull()).select(docs.columns)
+    return rest.union(judged.where(keys[2]).dropDuplicates(keys[:2]).select(docs.columns))
 
 
 ORACLE_SQL = r"""
