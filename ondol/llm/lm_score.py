@@ -1,16 +1,20 @@
 """Language-model scoring: a hashed maximum-entropy model with a class-factored softmax.
 
-P(word | history) = P(class | history) * P(word | class, history).  The most frequent words of
-the training tokens are model words, dealt by frequency into classes of 64; all others form one
-tail class, inside which a word has its smoothed unigram share, so unseen words keep a
-probability and the whole stays normalised.  Both softmax layers sum weights of hashed features:
-the previous word, the previous two words, and the word before the previous one (skip).  Their
-biases start at the unigram model.
+P(word | history) = P(class | history) * P(subclass | class, history) * P(word | subclass, history).
+The most frequent words of the training tokens are model words, dealt by frequency into width
+classes of width subclasses of width words; the width is the cube root of the vocabulary, up to
+`width`, so a token costs three short softmax layers whatever the number of words.  All other words
+form one tail class, inside which a word has its smoothed unigram share, so unseen words keep a
+probability and the whole stays normalised.  Every layer sums weights of hashed features: the
+previous word, the word before it (skip) and, in the first layer, both together.  The rows of
+weights grow with the training tokens, up to `rows`; both bounds are for the memory of a worker.
+The biases start at the unigram model.
 
 Training is distributed: every trainer streams its share of the texts, takes mini-batch AdaGrad
 steps on a copy of the model, and the token-weighted mean of the copies starts the next round
-(iterative parameter mixing).  Counts cover all training tokens.  What is broadcast is bounded:
-the model (fixed size) and the words with more than N / head_words of the N tokens, of which there
+(iterative parameter mixing).  The number of trainers follows the number of tokens, not of cores.
+Counts cover all training tokens.  What is broadcast is bounded:
+the model (of bounded size) and the words with more than N / head_words of the N tokens, of which there
 can be at most head_words.  Counts of all other words reach their documents by a join; no such
 word has more than N / head_words occurrences, so that join has no hot key.
 
@@ -21,6 +25,7 @@ set gives log10(0.5 / 0.5) = 0 for every token, in the base and in the model.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,17 +33,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, Lookup, mixed, pieces, remainder, text_buffer, words_of, write_out
+from .common import U, Lookup, discard, mixed, pieces, remainder, text_buffer, words_of, write_out
 
 END = U(0x5851F42D4C957F2D)  # hash of the end token
 BEGIN = U(0x14057B7EF767814F)
-WIDTH = 64  # words in a class
 
 
 @dataclass(frozen=True)
 class Settings:
-    classes: int = 16
-    rows: int = 1 << 14
+    width: int = 32  # classes, subclasses of a class, and words of a subclass, at most
+    rows: int = 1 << 16  # rows of hashed weights, at most
+    tokens_a_row: int = 64
+    tokens_a_trainer: int = 3_000_000
+    trainers: int = 4096
     rounds: int = 2
     head_words: int = 1 << 18
     batch: int = 1 << 13
@@ -68,25 +75,26 @@ def features(tok: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 
 class Model:
-    """Weights of both layers; words: hashes of the model words by falling count."""
+    """Biases and weights of the three layers; words: hashes of the model words by falling count."""
 
-    def __init__(self, words: np.ndarray, counts: np.ndarray, total: float, tail_mass: float, s: Settings):
-        self.s, self.n_classes = s, s.classes
+    def __init__(self, words: np.ndarray, counts: np.ndarray, total: float, tail_mass: float, width: int, rows: int):
+        self.width, self.rows, self.tail = width, rows, width**3
         order = np.argsort(words)
         self.find, self.slot = Lookup(words[order]), order.astype(np.int32)
-        mass = np.zeros(s.classes * WIDTH)
+        mass = np.zeros(self.tail)
         mass[: len(counts)] = counts + 0.5
-        by_class = np.append(mass.reshape(s.classes, WIDTH).sum(1), tail_mass)
-        with np.errstate(divide="ignore"):
-            self.b1 = np.log(np.maximum(by_class / max(total, 1e-9), 1e-30)).astype(np.float32)
-            b2 = np.log(np.maximum(mass, 1e-30)).reshape(s.classes, WIDTH)
-        self.b2 = (b2 - b2.max(1, keepdims=True)).astype(np.float32)
-        self.b2[mass.reshape(s.classes, WIDTH) == 0] = -80
-        self.w1 = np.zeros((s.rows, s.classes + 1), np.float32)
-        self.w2 = np.zeros((s.rows, WIDTH), np.float32)
+        words_of_class = mass.reshape(width * width, width)
+        classes = words_of_class.sum(1).reshape(width, width)
+        layers = [np.append(classes.sum(1), tail_mass)[None] / max(total, 1e-9), classes, words_of_class]
+        self.bias = []
+        for shares in layers:
+            bias = np.log(np.maximum(shares, 1e-30))
+            bias -= bias.max(1, keepdims=True)
+            self.bias.append(np.where(shares == 0, -80, bias).astype(np.float32))
+        self.weight = [np.zeros((rows, b.shape[1]), np.float32) for b in self.bias]
 
     def parts(self):
-        return [self.w1, self.w2, self.b1, self.b2]
+        return [*self.weight, *self.bias]
 
     def flat(self) -> np.ndarray:
         return np.concatenate([p.ravel() for p in self.parts()])
@@ -99,77 +107,74 @@ class Model:
         return self
 
     def code(self, tok: np.ndarray) -> np.ndarray:
-        """class * WIDTH + place, or the tail's code."""
+        """Place of each token among the model words, or the tail's code."""
         found = self.find(tok)
-        return np.where(found >= 0, self.slot[np.maximum(found, 0)] if len(self.slot) else 0, self.s.classes * WIDTH)
-
-    def rows_of(self, f):
-        return [(mixed(x) >> U(20)).astype(np.int64) & (self.s.rows - 1) for x in f]
-
-    def in_class(self, f, cls):
-        salt = cls.astype(np.uint64) * U(0x9E3779B97F4A7C15)
-        return [(mixed(x + salt) >> U(18)).astype(np.int64) & (self.s.rows - 1) for x in (f[0], f[2])]
-
-    @staticmethod
-    def softmax(z):
-        z -= z.max(1, keepdims=True)
-        np.exp(z, out=z)
-        z /= z.sum(1, keepdims=True)
-        return z
-
-    def layers(self, code, f):
-        """For a mini-batch: both layers' probabilities, targets and rows."""
-        cls = code // WIDTH
-        r1 = self.rows_of(f)
-        p1 = self.softmax(self.b1 + self.w1[r1[0]] + self.w1[r1[1]] + self.w1[r1[2]])
-        head = np.flatnonzero(cls < self.s.classes)
-        hc = cls[head]
-        r2 = self.in_class([x[head] for x in f], hc)
-        p2 = self.softmax(self.b2[hc] + self.w2[r2[0]] + self.w2[r2[1]])
-        return cls, r1, p1, head, hc, code[head] % WIDTH, r2, p2
-
-    def log10(self, code, f) -> np.ndarray:
-        """log10 of the class times the word in it; the tail's share of a word comes later."""
-        cls, _, p1, head, _, place, _, p2 = self.layers(code, f)
-        out = np.log(np.maximum(p1[np.arange(len(cls)), cls], 1e-30)).astype(np.float64)
-        out[head] += np.log(np.maximum(p2[np.arange(len(head)), place], 1e-30))
-        return out / np.log(10)
+        return np.where(found >= 0, self.slot[np.maximum(found, 0)] if len(self.slot) else 0, self.tail)
+
+    def layers(self, code: np.ndarray, f):
+        """For each layer: its number, the tokens that reach it, their context, outcome, feature rows and probabilities."""
+        every = np.arange(len(code))
+        head = np.flatnonzero(code < self.tail)
+        w = self.width
+        for layer, at in enumerate((every, head, head)):
+            if not len(at):
+                continue
+            c = code[at]
+            context, outcome = ((np.zeros_like(c), c // (w * w)), (c // (w * w), c // w % w), (c // w, c % w))[layer]
+            salt = context.astype(np.uint64) * U(0x9E3779B97F4A7C15) + U(layer + 1)
+            used = f if layer == 0 else (f[0], f[2])
+            rows = [(mixed(x[at] + salt) >> U(18)).astype(np.int64) & (self.rows - 1) for x in used]
+            z = self.bias[layer][context]
+            for r in rows:
+                z += self.weight[layer][r]
+            z -= z.max(1, keepdims=True)
+            np.exp(z, out=z)
+            z /= z.sum(1, keepdims=True)
+            yield layer, at, context, outcome, rows, z
+
+    def log10(self, code: np.ndarray, f) -> np.ndarray:
+        """log10 of the model word or of the tail class; the tail's share of a word comes later."""
+        out = np.zeros(len(code))
+        for _, at, _, outcome, _, p in self.layers(code, f):
+            out[at] += np.log10(np.maximum(p[np.arange(len(at)), outcome], 1e-30))
+        return out
 
 
 class Trainer:
-    def __init__(self, model: Model):
-        self.m = model
-        self.h = {k: np.full(len(w), 1.0, np.float32) for k, w in (("w1", model.w1), ("w2", model.w2), ("b1", model.b1[None]), ("b2", model.b2))}
+    """AdaGrad steps on a model, with one rate a row."""
 
-    def move(self, name: str, rows: np.ndarray, grad: np.ndarray) -> None:
-        order = np.argsort(rows, kind="stable")
+    def __init__(self, model: Model, rate: float):
+        self.m, self.rate = model, rate
+        self.seen = {id(table): np.ones(len(table), np.float32) for table in model.parts()}
+
+    def move(self, table: np.ndarray, rows: np.ndarray, grad: np.ndarray) -> None:
+        order = np.argsort(rows.astype(np.uint16) if len(table) <= 1 << 16 else rows, kind="stable")
         rows = rows[order]
         first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
         g = np.add.reduceat(grad[order], first, axis=0)
-        rows, w = rows[first], getattr(self.m, name)
-        w = w[None] if w.ndim == 1 else w
-        h = self.h[name]
-        h[rows] += np.einsum("ij,ij->i", g, g)
-        w[rows] -= (self.m.s.rate / np.sqrt(h[rows]))[:, None] * g
-
-    def step(self, code, f) -> None:
-        cls, r1, p1, head, hc, place, r2, p2 = self.m.layers(code, f)
-        p1[np.arange(len(cls)), cls] -= 1
-        for r in r1:
-            self.move("w1", r, p1)
-        self.move("b1", np.zeros(len(cls), np.int64), p1)
-        if len(head):
-            p2[np.arange(len(head)), place] -= 1
-            for r in r2:
-                self.move("w2", r, p2)
-            self.move("b2", hc, p2)
+        rows, seen = rows[first], self.seen[id(table)]
+        seen[rows] += np.einsum("ij,ij->i", g, g)
+        table[rows] -= (self.rate / np.sqrt(seen[rows]))[:, None] * g
+
+    def step(self, code: np.ndarray, f) -> None:
+        for layer, at, context, outcome, rows, p in self.m.layers(code, f):
+            p[np.arange(len(at)), outcome] -= 1
+            for r in rows:
+                self.move(self.m.weight[layer], r, p)
+            self.move(self.m.bias[layer], context, p)
+
+
+def shape_of(vocabulary: int, total: int, s: Settings) -> tuple[int, int]:
+    """(width, rows): the cube root of the vocabulary and a power of two near the tokens, within their bounds."""
+    width = min(s.width, max(2, math.ceil(round(vocabulary ** (1 / 3), 6))))
+    return width, min(s.rows, 1 << max(8, math.ceil(math.log2(max(total, 1) / s.tokens_a_row))))
 
 
 def token_counts(train: DataFrame) -> DataFrame:
     """(h, c): every token's hash and count over all texts."""
 
     def count(batches):
-        for b in pieces(batches, 8 << 20):
+        for b in pieces(batches):
             h, c = np.unique(tokens(b)[0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], ["h", "c"])
 
@@ -189,54 +194,56 @@ def lm_score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "te
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     N, V = int(total["n"]), int(total["v"])
     bar = N // s.head_words
-    head = counts.where(F.col("c") > bar).toPandas()  # at most head_words rows
-    hh, hc = head["h"].to_numpy(np.int64).view(np.uint64), head["c"].to_numpy(np.int64)
+    head = counts.where(F.col("c") > bar).toArrow()  # at most head_words rows
+    hh, hc = head["h"].to_numpy().view(np.uint64), head["c"].to_numpy()
     order = np.argsort(hh)
     hh, hc = hh[order], hc[order]
-    top = np.lexsort((hh, -hc))[: s.classes * WIDTH]
+    width, n_rows = shape_of(V, N, s)
+    top = np.lexsort((hh, -hc))[: width**3]
     spread = N + 0.5 * (V + 1)
-    model_mass = float((hc[top] + 0.5).sum())
-    tail_mass = max(spread - model_mass, 0.5)
-
-    def fresh() -> Model:
-        return Model(hh[top], hc[top], spread, tail_mass, s)
-
-    weights = fresh().flat()
-    trainers = max(1, sc.defaultParallelism)
+    tail_mass = max(spread - float((hc[top] + 0.5).sum()), 0.5)
+    start = (hh[top], hc[top], spread, tail_mass, width, n_rows)
+    weights = Model(*start).flat()
+    trainers = min(s.trainers, -(-N // s.tokens_a_trainer))
     for r in range(s.rounds if N else 0):
-        shared = sc.broadcast((hh[top], hc[top], spread, tail_mass, weights))
+        shared = sc.broadcast((start, weights))
 
         def fit(batches, shared=shared):
-            w, c, total, tail, flat = shared.value
-            model = Model(w, c, total, tail, s).load(flat)
-            trainer, seen = Trainer(model), 0
+            model = Model(*shared.value[0]).load(shared.value[1])
+            trainer, seen = Trainer(model, s.rate), 0
             for b in pieces(batches):
                 tok, at = tokens(b)
                 f, code = features(tok, at), model.code(tok)
                 for i in range(0, len(tok), s.batch):
                     trainer.step(code[i : i + s.batch], [x[i : i + s.batch] for x in f])
                 seen += len(tok)
-            if seen:
-                out, size = model.flat(), 1 << 14
-                at = range(0, len(out), size)
-                yield pa.RecordBatch.from_arrays([pa.array(list(range(len(at))), pa.int32()), pa.array([float(seen)] * len(at)), pa.array([out[i : i + size].tobytes() for i in at], pa.binary())], ["block", "n", "w"])
+            out, size = model.flat(), 1 << 16
+            for block in range(0, len(out) if seen else 0, size):
+                part = pa.array([out[block : block + size].tobytes()], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([float(seen)]), part], ["block", "n", "w"])
 
         def mean(table: pa.Table) -> pa.Table:
-            n = np.asarray(table["n"])
-            w = sum(k * np.frombuffer(x.as_py(), np.float32).astype(np.float64) for k, x in zip(n, table["w"])) / n.sum()
-            return pa.table({"block": table["block"][:1], "w": pa.array([w.astype(np.float32).tobytes()], pa.binary())})
-
-        shard = learn.where(F.pmod(F.xxhash64("doc_id", F.lit(r * 0 + 7)), F.lit(s.rounds)) == r)
-        copies = shard.select("text").coalesce(trainers).mapInArrow(fit, "block int, n double, w binary")
-        mixed_model = {x["block"]: x["w"] for x in copies.groupBy("block").applyInArrow(mean, "block int, w binary").collect()}
-        if mixed_model:
-            weights = np.frombuffer(b"".join(mixed_model[k] for k in sorted(mixed_model)), np.float32)
-    shared = sc.broadcast((hh, hc, top, spread, tail_mass, weights))
+            total, sums = 0.0, 0.0
+            for k, x in zip(table["n"].to_pylist(), table["w"]):
+                total, sums = total + k, sums + k * np.frombuffer(x.as_py(), np.float32).astype(np.float64)
+            w = (sums / total).astype(np.float32).tobytes()
+            return pa.table({"block": table["block"][:1], "w": pa.array([w], pa.binary())})
+
+        shard = learn.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(s.rounds)) == r)
+        copies = shard.select("text").coalesce(trainers).mapInArrow(fit, "block long, n double, w binary")
+        mixture = write_out(copies.groupBy("block").applyInArrow(mean, "block long, w binary"), "lm-model")
+        found = mixture.toArrow().sort_by("block")
+        if found.num_rows:
+            weights = np.concatenate([np.frombuffer(x.as_buffer(), np.float32) for x in found["w"]])
+        del found
+        discard(mixture)
+        shared.unpersist()
+    shared = sc.broadcast((hh, hc, start, weights))
     fields = "doc_id {}, held_out boolean, rid long, n_tokens long, head_known long, head_base double, head_score double, n_tail long, rare_h binary, rare_n binary".format(rows.schema["doc_id"].dataType.simpleString())
 
     def score(batches):
-        hh, hc, top, spread, tail, flat = shared.value
-        model, find = Model(hh[top], hc[top], spread, tail, s).load(flat), Lookup(hh)
+        hh, hc, start, flat = shared.value
+        model, find = Model(*start).load(flat), Lookup(hh)
         head_log = np.log10(hc + 0.5) if len(hc) else np.zeros(1)
         for b in pieces(batches):
             tok, at = tokens(b)
@@ -245,7 +252,7 @@ def lm_score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "te
             found = find(tok)
             known = found >= 0
             base = np.where(known, head_log[np.maximum(found, 0)], 0.0)
-            tailed = code == s.classes * WIDTH
+            tailed = code == model.tail
             lp += np.where(tailed, base, 0.0)
             doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
             rare = ~known
@@ -280,7 +287,7 @@ def lm_score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "te
     log_c = F.log10(F.coalesce(F.col("c"), F.lit(0)) + F.lit(0.5))
     tails = known.groupBy("rid").agg(F.sum(F.col("tf") * log_c).alias("rare_log"), F.sum(F.when(F.col("c").isNotNull(), F.col("tf")).otherwise(0)).alias("rare_known"))
     extra = once.join(tails, "rid", "left").select("rid", *((F.coalesce(F.col(c), F.lit(0)) / F.col("copies")).alias(c) for c in ("rare_log", "rare_known")))
-    return scored.join(extra, "rid", "left").select(
+    found = scored.join(extra, "rid", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
@@ -290,6 +297,9 @@ def lm_score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "te
         (F.col("head_score") + F.col("rare_log") - F.col("n_tail") * float(np.log10(tail_mass if N else 0.5))).alias("score"),
         F.lit(V).cast("long").alias("vocabulary"),
     )
+    found = write_out(found, "lm-result")
+    discard(counts, scored)
+    return found
 
 
 def op1_lm_score(spark, sf_dir: str) -> DataFrame:
