@@ -19,9 +19,9 @@ def ranked(d, source: str, keys: str, value: str) -> str:
     of = lambda a: ", ".join(f"{a}.{k}" for k in names)
     return f"""WITH equal AS (SELECT {keys}, {value} AS x, count(*) AS k FROM {source} WHERE {value} IS NOT NULL GROUP BY {keys}, {value}),
 ends AS (SELECT {keys}, sum(k) AS n, cast(min(x) as double) AS least, cast(max(x) as double) AS most FROM equal GROUP BY {keys}),
-placed AS (SELECT {of('c')}, x, k, n, CASE WHEN most > least THEN cast(floor((cast(x as double) - least) * 1023 / (most - least)) as bigint) ELSE 0 END AS part FROM equal c JOIN ends e ON {same('c', 'e')}),
-parts AS (SELECT {keys}, part, sum(sum(k)) OVER (PARTITION BY {keys} ORDER BY part) - sum(k) AS before FROM placed GROUP BY {keys}, part)
-SELECT {of('c')}, x, n, before + sum(k) OVER (PARTITION BY {of('c')}, c.part ORDER BY x) - k AS i, k FROM placed c JOIN parts p ON {same('c', 'p')} AND c.part = p.part"""
+placed AS (SELECT {of('c')}, x, k, n, CASE WHEN most > least THEN cast(floor((cast(x as double) - least) * 1023 / (most - least)) as bigint) ELSE 0 END AS slot FROM equal c JOIN ends e ON {same('c', 'e')}),
+parts AS (SELECT {keys}, slot, sum(sum(k)) OVER (PARTITION BY {keys} ORDER BY slot) - sum(k) AS before FROM placed GROUP BY {keys}, slot)
+SELECT {of('c')}, x, n, before + sum(k) OVER (PARTITION BY {of('c')}, c.slot ORDER BY x) - k AS i, k FROM placed c JOIN parts p ON {same('c', 'p')} AND c.slot = p.slot"""
 
 
 def at(place: str) -> str:

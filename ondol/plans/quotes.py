@@ -108,8 +108,8 @@ def found(d) -> str:
         when = " AND ".join(has("words", g) for g in groups) if groups else f"{'has_' + str(len(missing))} = 1"
         missing.append(f"SELECT article_id, '누락' AS kind, '{process}' AS process, '필수 항목 누락' AS title, '{need[0]}' AS detail FROM words WHERE {when} AND NOT {has('words', need)}")
     present = ", ".join(f"max(CASE WHEN process = '{p}' THEN 1 ELSE 0 END) AS has_{i}" for i, (p, _, _) in enumerate(V.REQUIRED))
-    return f"""part_ AS ({base}), words AS (SELECT a.article_id, words, {', '.join(f'has_{i}' for i in range(len(V.REQUIRED)))} FROM (SELECT article_id, {text} AS words FROM line WHERE NOT is_aggregate GROUP BY article_id) a
-  JOIN (SELECT article_id, {present} FROM line GROUP BY article_id) b ON a.article_id = b.article_id),
+    return f"""part_ AS ({base}), words AS (SELECT b.article_id, coalesce(words, '') AS words, {', '.join(f'has_{i}' for i in range(len(V.REQUIRED)))} FROM (SELECT article_id, {present} FROM line GROUP BY article_id) b
+  LEFT JOIN (SELECT article_id, {text} AS words FROM line WHERE NOT is_aggregate GROUP BY article_id) a ON a.article_id = b.article_id),
 same AS (SELECT article_id, process, description, amount, count(*) AS n FROM part_ WHERE description <> '' AND NOT is_generic GROUP BY article_id, process, description, amount HAVING count(*) >= 2),
 seen AS (SELECT article_id, process, min(pos) AS place FROM line WHERE process IS NOT NULL GROUP BY article_id, process),
 wide AS (SELECT c.article_id, description, amount, count(*) AS n, max_by(c.process, place) AS process FROM (SELECT DISTINCT article_id, process, description, amount FROM part_ WHERE description <> '' AND amount > 0 AND NOT is_generic) c
@@ -286,12 +286,11 @@ def trade_sums(d) -> str:
 split AS (SELECT article_id, sum(CASE WHEN door THEN amount ELSE 0 END) AS door, sum(CASE WHEN sash AND NOT door THEN amount ELSE 0 END) AS sash, sum(CASE WHEN NOT door AND NOT sash THEN amount ELSE 0 END) AS generic FROM named WHERE trade = '창호' GROUP BY article_id),
 share AS (SELECT article_id, CASE WHEN door <= 0 THEN 0.0 WHEN sash <= 0 THEN cast(door + generic as double) ELSE door + generic * (1 - cast(sash as double) / (sash + door)) END AS door_part,
   CASE WHEN door <= 0 THEN cast(sash + generic as double) WHEN sash <= 0 THEN 0.0 ELSE sash + generic * (cast(sash as double) / (sash + door)) END AS sash_part FROM split),
-summed AS (SELECT article_id, trade, sum(cost) AS cost FROM (
+summed AS (SELECT article_id, trade, sum(cost) AS cost, sum(sum(cost)) OVER (PARTITION BY article_id) AS line_sum FROM (
   SELECT article_id, CASE WHEN trade = '목공' AND door THEN '도어' ELSE trade END AS trade, cast(amount as double) AS cost FROM named WHERE trade <> '창호'
-  UNION ALL SELECT article_id, '도어', door_part FROM share WHERE door_part > 0 UNION ALL SELECT article_id, '창호', sash_part FROM share WHERE sash_part > 0) z GROUP BY article_id, trade),
-allc AS (SELECT article_id, sum(cost) AS line_sum FROM summed GROUP BY article_id),
-scaled AS (SELECT s.article_id, trade, {d.long('CASE WHEN total_cost > 0 AND line_sum > total_cost * 1.3 THEN cost * (cast(total_cost as double) / line_sum) ELSE cost END')} AS cost FROM summed s JOIN allc a ON s.article_id = a.article_id JOIN total t ON s.article_id = t.article_id),
-costs AS (SELECT article_id, trade, cost FROM scaled WHERE cost > 0 UNION ALL SELECT article_id, '도어', 0 FROM total WHERE article_id NOT IN (SELECT article_id FROM scaled WHERE trade = '도어' AND cost > 0))"""
+  UNION ALL SELECT article_id, '도어', door_part FROM share UNION ALL SELECT article_id, '창호', sash_part FROM share UNION ALL SELECT article_id, '도어', 0.0 FROM total) z GROUP BY article_id, trade),
+scaled AS (SELECT s.article_id, trade, {d.long('CASE WHEN total_cost > 0 AND line_sum > total_cost * 1.3 THEN cost * (cast(total_cost as double) / line_sum) ELSE cost END')} AS cost FROM summed s JOIN total t ON s.article_id = t.article_id),
+costs AS (SELECT article_id, trade, cost FROM scaled WHERE cost > 0 OR trade = '도어')"""
 
 
 def door_items(d):

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from ..functions.dialect import Duck, Spark
-from . import catalogue, ingest, measures, quotes, reports, retrieval
+from . import catalogue, estimates, evaluation, ingest, measures, quotes, reports, retrieval, scalars
 
 
 def query(plan):
@@ -18,6 +18,6 @@ def query(plan):
     return run
 
 
-PLANS = (*catalogue.PLANS, *ingest.PLANS, *measures.PLANS, *reports.PLANS, *retrieval.PLANS, *quotes.PLANS)
+PLANS = (*catalogue.PLANS, *ingest.PLANS, *measures.PLANS, *reports.PLANS, *retrieval.PLANS, *quotes.PLANS, *estimates.PLANS, *scalars.PLANS, *evaluation.PLANS)
 QUERIES = {plan.__name__: query(plan) for plan in PLANS}
 ORACLE_SQL = {plan.__name__: plan(Duck).replace("regexp_like(", "regexp_matches(") for plan in PLANS}
