@@ -32,17 +32,27 @@ def read_points(spark: SparkSession, path: str) -> DataFrame:
     return parsed.where("type = 'Point'").select("metric", F.col("data.time").alias("time"), F.col("data.value").alias("value"), F.col("data.tags")["scenario"].alias("scenario"))
 
 
-def decoded(content: Column, fallback: str = "EUC-KR") -> Column:
-    """Text of a file's bytes: UTF-8, with or without byte order mark, where it is valid, else the fallback."""
-    text = F.when(F.expr("is_valid_utf8(cast(content as string))"), F.decode(content, "UTF-8")).otherwise(F.decode(content, fallback))
-    return F.regexp_replace(text, "^﻿", "")
+def decoder(fallback: str):
+    """Bytes of a file to text: UTF-8, with or without byte order mark, where they are valid, else the fallback."""
 
+    @F.pandas_udf("string")
+    def text(content):
+        def one(data: bytes) -> str:
+            try:
+                return data.decode("utf-8-sig")
+            except UnicodeDecodeError:
+                return data.decode(fallback, errors="replace")
 
-def read_label_files(spark: SparkSession, path: str, schema: StructType | str, fallback: str = "EUC-KR") -> DataFrame:
+        return content.map(one)
+
+    return text
+
+
+def read_label_files(spark: SparkSession, path: str, schema: StructType | str, fallback: str = "cp949") -> DataFrame:
     """Label CSVs with a header, each in its own encoding; label files are small, so each is read whole."""
     fields = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
     whole = spark.read.format("binaryFile").load(path).select("content")
-    line = whole.select(F.posexplode(F.split(decoded(F.col("content"), fallback), "\r?\n")).alias("at", "line")).where("at > 0 AND trim(line) <> ''")
+    line = whole.select(F.posexplode(F.split(decoder(fallback)("content"), "\r?\n")).alias("at", "line")).where("at > 0 AND trim(line) <> ''")
     return line.select(F.from_csv("line", fields.simpleString()[7:-1].replace(":", " ")).alias("r")).select("r.*")
 
 

@@ -12,9 +12,10 @@ os.environ["PYTHONPATH"] = os.pathsep.join([ROOT, os.environ.get("PYTHONPATH", "
 def spark():
     from pyspark.sql import SparkSession
 
+    # small tables: large plans take longer to compile than to run
     session = (
         SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "6g").getOrCreate()
+        .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "6g").config("spark.sql.codegen.wholeStage", "false").getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
