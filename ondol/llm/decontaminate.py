@@ -17,25 +17,29 @@ question (the first three quarters of the item; of an item under six words the w
 words of the answer (the rest) must occur there.  An item of any length fits a passage, since every
 run of words of half a passage's length lies inside one.
 
-Items are taken in blocks of block_items, each its own index, so what is broadcast is bounded;
-every text meets every block.  Words here: lower-case A-Z, runs of bytes other than ASCII
+Document frequencies, the number of items, their mean and greatest length are those of all items,
+counted once.  Only then are items taken in blocks of block_items, each with its own postings, so the
+result does not depend on the blocks.  One block is matched in the scan of the texts; several are
+matched one after the other, each in a written pass that keeps its hits alone, so that no more than
+one block's index is held at a time.  Words here: lower-case A-Z, runs of bytes other than ASCII
 punctuation and white space, so that attached symbols hide no passage; compared by 64-bit hash.
 
 Nulls and odd inputs: a null or wordless text and a null or wordless item match nothing (an item under five words
-must occur as a whole); repeated
-items all match; repeated rows are judged alike; with no items every text is clean.
+must occur as a whole); repeated items all match, rows equal in item and text once; repeated rows are
+judged alike; with no items every text is clean; an input column `_items` is replaced.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, U, Lookup, mixed, pieces, text_buffer, words_of
+from .common import ALNUM, U, Lookup, discard, mixed, pieces, temporary, text_buffer, words_of, write_out
 
 SHINGLE = 5
 K1, B = 1.2, 0.75
@@ -88,16 +92,17 @@ class Index:
     flat: dict = field(default_factory=dict, repr=False)
 
     @classmethod
-    def build(cls, ids: list, texts: list[str]) -> "Index":
+    def build(cls, ids: list, texts: list[str], counts: "ItemCounts") -> "Index":
         h, _, at = words_of(*text_buffer(pa.array(texts, pa.large_string())), ALNUM)
         n, size = len(ids), np.diff(at)
         item = np.repeat(np.arange(n), size)
         pair = np.zeros(len(h), dtype=[("h", np.uint64), ("i", np.int64)])
         pair["h"], pair["i"] = h, item
         pair, tf = np.unique(pair, return_counts=True)
-        terms, term, df = np.unique(pair["h"], return_inverse=True, return_counts=True)
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        norm = K1 * (1 - B + B * size / max(size.mean() if n else 1, 1e-9))
+        terms, term = np.unique(pair["h"], return_inverse=True)
+        df = counts.df(terms)
+        idf = np.log1p((counts.items - df + 0.5) / (df + 0.5))
+        norm = K1 * (1 - B + B * size / counts.mean)
         w = idf[term] * tf * (K1 + 1) / (tf + norm[pair["i"]])
         w /= np.bincount(pair["i"], w, n)[pair["i"]]
         key = term * ((n + BLOCK - 1) // BLOCK) + pair["i"] // BLOCK
@@ -105,8 +110,9 @@ class Index:
         block_max = np.maximum.reduceat(w, first) if len(w) else w
         largest = np.maximum.reduceat(w, np.searchsorted(term, np.arange(len(terms)))) if len(w) else w
         parts = [parts_of(h[a:b]) for a, b in zip(at[:-1], at[1:])]
-        longest = int(size.max()) if n else 1
-        return cls(np.array(ids, object), terms, np.searchsorted(term, np.arange(len(terms) + 1)), pair["i"], w, block_key, block_max, largest, max(64, 2 * longest), parts)
+        first_posting = np.searchsorted(term, np.arange(len(terms) + 1))
+        span = max(64, 2 * counts.longest)
+        return cls(np.array(ids, object), terms, first_posting, pair["i"], w, block_key, block_max, largest, span, parts)
 
     def at(self, keys, values, wanted):
         """Values of the wanted keys, 0 where there is none; by a flat table while that is small."""
@@ -209,21 +215,64 @@ def match_slice(index: Index, find: Lookup, batch: pa.RecordBatch, threshold: fl
     return out
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", threshold: float = 0.5, similarity: float = 0.8, block_items: int = 4096) -> DataFrame:
+class ItemCounts:
+    """Counts over all items: their number, mean and greatest length, and the items that hold each word."""
+
+    def __init__(self, listed: DataFrame):
+        def words(batches):
+            for b in pieces(batches):
+                h, _, at = words_of(*text_buffer(b.column("text")), ALNUM)
+                size = np.diff(at)
+                pair = np.zeros(len(h), dtype=[("i", np.int64), ("h", np.uint64)])
+                pair["i"], pair["h"] = np.repeat(np.arange(len(size)), size), h
+                word = np.unique(pair)["h"].view(np.int64)
+                long = np.concatenate([size, np.zeros(len(word), np.int64)])
+                every = np.concatenate([np.zeros(len(size), np.int64), word])
+                is_item = np.arange(len(every)) < len(size)
+                yield pa.RecordBatch.from_arrays([pa.array(every), pa.array(long), pa.array(is_item)], ["h", "size", "is_item"])
+
+        found = write_out(listed.select("text").mapInArrow(words, "h long, size long, is_item boolean"), "bench-words")
+        total = found.where("is_item").agg(F.count("*"), F.avg("size"), F.max("size")).first()
+        self.items, self.mean, self.longest = total[0], max(total[1] or 1.0, 1e-9), total[2] or 1
+        self.table = write_out(found.where("NOT is_item").groupBy("h").agg(F.count("*").alias("df")), "bench-df")
+        discard(found)
+
+    def df(self, terms: np.ndarray) -> np.ndarray:
+        """Document frequencies of the sorted terms of one block."""
+        wanted = self.table.sparkSession.createDataFrame(pa.table({"h": pa.array(terms.view(np.int64))}))
+        found = self.table.join(wanted, "h").toArrow()
+        h, df = found["h"].to_numpy().view(np.uint64), found["df"].to_numpy()
+        return df[np.argsort(h)]
+
+
+def decontaminate(
+    docs: DataFrame,
+    items: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    item_col: str = "item_id",
+    threshold: float = 0.5,
+    similarity: float = 0.8,
+    block_items: int = 4096,
+) -> DataFrame:
     """All columns of docs, and _items: struct (item, score) of each verified item; empty for clean texts."""
     spark = docs.sparkSession
     kind = items.schema[item_col].dataType.simpleString()
-    listed = items.select(F.col(item_col).alias("item"), F.col("text")).where(F.col("text").rlike(r"[0-9A-Za-z\x{80}-\x{10FFFF}]"))
-    blocks = max(1, -(-listed.count() // block_items))
-    out = docs.withColumn("_items", F.array().cast(f"array<struct<item:{kind},score:double>>"))
-    for k in range(blocks):
+    hits = f"array<struct<item:{kind},score:double>>"
+    listed = items.select(F.col(item_col).alias("item"), "text").where(F.col("text").rlike(r"[0-9A-Za-z\x{80}-\x{10FFFF}]")).distinct()
+    own = [F.col(c) for c in docs.columns if c.lower() != "_items"]
+    blocks = -(-listed.count() // block_items)
+    if not blocks:
+        return docs.select(*own, F.array().cast(hits).alias("_items"))
+    counts = ItemCounts(listed)
+
+    def index(k: int):
         block = listed.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).orderBy("item", "text").collect()
-        if not block:
-            continue
-        shared = spark.sparkContext.broadcast(Index.build([r["item"] for r in block], [r["text"] for r in block]))
+        return spark.sparkContext.broadcast(Index.build([r["item"] for r in block], [r["text"] for r in block], counts)) if block else None
 
-        @F.pandas_udf(f"array<struct<item:{kind},score:double>>")
-        def match(texts, shared=shared):
+    def matcher(shared):
+        @F.pandas_udf(hits)
+        def match(texts):
             import pandas as pd
 
             index = shared.value
@@ -237,8 +286,29 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
                 done += b.num_rows
             return pd.Series(rows)
 
-        out = out.withColumn("_items", F.concat("_items", match(F.col(text_col))))
-    return out
+        return match
+
+    if blocks == 1:
+        found = docs.select(*own, matcher(index(0))(F.col(text_col)).alias("_items"))
+        discard(counts.table)
+        return found
+    passes = []
+    for k in range(blocks):
+        shared = index(k)
+        if shared is None:
+            continue
+        texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("body"), F.col(text_col).alias("text"))
+        hit = texts.select("id", "body", matcher(shared)("text").alias("hits")).where(F.size("hits") > 0)
+        passes.append(write_out(hit.distinct(), "bench-hits"))
+        shared.unpersist()
+    discard(counts.table)
+    each = reduce(DataFrame.union, passes).select("id", "body", F.explode("hits").alias("hit"))
+    key, body, all_hits = (temporary(docs, name) for name in ("hit_id", "hit_body", "hit_list"))
+    by_text = each.groupBy(F.col("id").alias(key), F.col("body").alias(body)).agg(F.collect_list("hit").alias(all_hits))
+    by_text = write_out(by_text, "bench-found")
+    discard(*passes)
+    joined = docs.join(by_text, docs[id_col].eqNullSafe(F.col(key)) & (F.xxhash64(text_col) == F.col(body)), "left")
+    return joined.select(*own, F.coalesce(all_hits, F.array().cast(hits)).alias("_items"))
 
 
 def op10_decontaminate(spark, sf_dir: str) -> DataFrame:
@@ -249,8 +319,15 @@ def op10_decontaminate(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: drop the texts that hold a test item."""
-    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where(F.size("_items") == 0).select(docs.columns)
+    """Pipeline stage: drop the texts that hold a test item.
+
+    Null texts and null ids stay; repeated rows are judged alike; without items nothing goes; all columns pass through.
+    """
+    kept = [c for c in docs.columns if c.lower() != "_items"]
+    aside = temporary(docs, "aside")
+    named = docs.select(*kept, *(F.col(c).alias(aside) for c in docs.columns if c not in kept))
+    found = decontaminate(named, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where(F.size("_items") == 0)
+    return found.select(*(F.col(c if c in kept else aside).alias(c) for c in docs.columns))
 
 
 ORACLE_SQL = rf"""
