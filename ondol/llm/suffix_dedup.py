@@ -1,24 +1,29 @@
 """Removal of repeated byte strings by bucket-pointer refinement over sampled suffixes.
 
 A byte is removed when a string of `length` bytes that covers it also starts in a document with a
-smaller id.  Sorting every suffix of the corpus to that depth would move each position several
-times; here only sampled suffixes are bucketed, and the sampling loses no string: of every window of
-`length` bytes the smallest-hashed q-gram is an anchor (ties all count), so equal windows have the
-same anchor at the same place.
+smaller id.  Suffixes are sorted into buckets to that depth.  Sorting every suffix of the corpus would
+move each position several times; here only sampled suffixes are dealt between tasks, and the sampling
+loses no string: of every window of `length` bytes the smallest-hashed q-gram is an anchor (ties all
+count), so equal windows have the same anchor at the same place.
+
+Bucket identifiers.  The bucket of a suffix at depth q is named by its q-gram.  Every deeper name is
+made from two names of the level before: that of the suffix itself and, the pointer, that of the suffix
+at a later offset; 16 bytes give 32, and 32 give 50 (`refined`).  Names of contexts and half windows are
+pairs of such identifiers too, so bytes are read once, for the q-grams.
 
 1. Initial buckets: the q-grams at the anchors.  Buckets that hold one document are finished.
-2. Refinement by bucket identifiers of other offsets: an anchor's context - all bytes of all windows
-   through it - names a finer bucket.  Where the smallest document of the bucket is smaller than an
-   anchor's own, its whole context goes.  Of each context only the smallest document goes on.
+2. Refinement: an anchor's context - all windows through it - is a finer bucket.  Where the bucket's
+   smallest document is smaller than an anchor's own, its whole context goes.  Of each context only the
+   smallest document goes on.
 3. Contexts of an anchor that differ can share windows only if they share the bytes left or right of
    it up to half a window; buckets of these two refine again, and single ones are finished.
-4. Last, the windows themselves of what is left are bucketed by their whole `length` bytes.
+4. Last, the windows themselves of what is left are bucketed at the full depth.
 
 Every level only passes on the members of buckets that are still mixed, and hands each document
-only what concerns it: bucket names to go on with, or its own places to remove, which carry a tag
-of the text so that rows with one id stay apart.  A bucket can hold each
-document once, while documents hold many anchors, so no bucket holds more than a small share of the
-rows; running windows keep no bucket in memory.
+only what concerns it: names of buckets to go on with, or of contexts and windows to remove, which the
+document finds again in its own text; so rows that share an id need no further key.  A document names
+a bucket once however often it holds it, so a bucket has at most one row per document, while documents
+hold many anchors; running windows keep no bucket in memory.
 
 Nulls and odd inputs: a null text is empty; a row with a null id neither removes nor loses bytes;
 rows that repeat an id do not remove each other's bytes; shorter texts keep all bytes; empty tables
@@ -27,15 +32,16 @@ give no rows; texts of any length are taken whole.
 
 from __future__ import annotations
 
-import zlib
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Lookup, U, discard, grams_hash, mixed, pieces, prefix_sums, spans_hash, text_buffer, write_out
+from .common import Lookup, U, discard, grams_hash, mixed, pieces, prefix_sums, text_buffer, write_out
 
 GRAM = 16
 
@@ -51,18 +57,30 @@ def sliding(x: np.ndarray, w: int, op) -> np.ndarray:
     return op(behind[:m], ahead[w - 1 : w - 1 + m])
 
 
+def refined(code: np.ndarray, gram: int, length: int) -> dict[int, np.ndarray]:
+    """Bucket identifiers of every suffix by depth: of each level the identifiers of two offsets name the next."""
+    levels = {gram: code}
+    depth, name = gram, code
+    while depth < length and len(name):
+        step = min(depth, length - depth)
+        name = mixed(name[:-step] * U(3) + name[step:]) if len(name) > step else name[:0]
+        depth += step
+        levels[depth] = name
+    return levels
+
+
 class Slice:
     """Anchors of the texts of one slice."""
 
     def __init__(self, batch: pa.RecordBatch, length: int, gram: int = GRAM):
         self.buf, self.at = text_buffer(batch.column("text"))
-        self.length, self.gram = length, gram
+        self.length, self.gram = length, min(gram, length)
         n = len(self.buf)
-        self.sums = prefix_sums(self.buf)
         self.place = np.zeros(0, np.int64)
+        self.code = np.zeros(0, np.uint64)
         if n >= length:
-            w = length - gram + 1
-            code = grams_hash(self.sums, gram)
+            w = length - self.gram + 1
+            self.codes = code = grams_hash(prefix_sums(self.buf), self.gram)
             low = sliding(code, w, np.minimum)
             ends = self.at[1:-1]
             across = np.zeros(len(low) + 1, np.int32)  # windows over the end of a text are void
@@ -73,28 +91,42 @@ class Slice:
             high = sliding(np.concatenate([pad, low, pad]), w, np.maximum)
             self.place = np.flatnonzero((high == code) & (high > 0))
             self.code = code[self.place]
-        else:
-            self.code = np.zeros(0, np.uint64)
         self.row = np.searchsorted(self.at, self.place, "right") - 1
 
     def keep(self, which: np.ndarray) -> None:
         self.place, self.code, self.row = self.place[which], self.code[which], self.row[which]
 
+    @cached_property
+    def levels(self) -> dict[int, np.ndarray]:
+        return refined(self.codes, self.gram, self.length)
+
+    def cover(self, lo: np.ndarray, hi: np.ndarray, depth: int) -> np.ndarray:
+        """Names of the spans lo to hi, of depth to twice the depth, by the buckets at their two ends."""
+        name = self.levels[depth]
+        return mixed(name[lo] * U(3) + mixed(name[hi - depth] + (hi - lo).astype(np.uint64)))
+
     def contexts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(name, first byte, end) of each anchor's context."""
+        if not len(self.place):
+            return self.code, self.place, self.place
         reach = self.length - self.gram
         lo = np.maximum(self.place - reach, self.at[self.row])
         hi = np.minimum(self.place + self.length, self.at[self.row + 1])
-        return mixed(spans_hash(self.sums, lo, hi) + (self.place - lo).astype(np.uint64)), lo, hi
+        return mixed(self.cover(lo, hi, self.length) + (self.place - lo).astype(np.uint64)), lo, hi
 
     def sides(self) -> tuple[np.ndarray, np.ndarray]:
         """Names of the half windows to the left and right of each anchor; 0 where the text ends before."""
+        if not len(self.place):
+            return self.code, self.code
         half = (self.length - self.gram + 1) // 2
+        depth = max(d for d in self.levels if d <= self.gram + half)
         lo, hi = self.place - half, self.place + self.gram + half
-        left, right = lo >= self.at[self.row], hi <= self.at[self.row + 1]
-        a = np.where(left, spans_hash(self.sums, np.maximum(lo, 0), self.place + self.gram), U(0))
-        b = np.where(right, mixed(spans_hash(self.sums, self.place, np.minimum(hi, len(self.buf)))), U(0))
-        return a, b
+        names = []
+        for start, stop, inside, salt in ((lo, hi - half, lo >= self.at[self.row], 1), (lo + half, hi, hi <= self.at[self.row + 1], 2)):
+            name = np.zeros(len(lo), np.uint64)
+            name[inside] = mixed(self.cover(start[inside], stop[inside], depth) + U(salt))
+            names.append(name)
+        return names[0], names[1]
 
     def windows(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, start) of the windows through the anchors that hold the marked halves."""
@@ -107,17 +139,22 @@ class Slice:
         start, first = np.unique(start[ok], return_index=True)
         return row[first], start
 
-    def names(self, start: np.ndarray) -> np.ndarray:
-        return spans_hash(self.sums, start, start + self.length)
-
-    def spots(self, row: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        """Tag of the text, first byte in it, and length, in one number each."""
-        return tags(self.buf, self.at)[row] << U(48) | (lo - self.at[row]).astype(np.uint64) << U(16) | (hi - lo).astype(np.uint64)
-
-
-def tags(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """16 bits of each text's checksum."""
-    return np.array([zlib.crc32(buf[a:b]) & 0xFFFF for a, b in zip(at[:-1].tolist(), at[1:].tolist())], np.uint64)
+    def gone(self, whole: pa.Array, windows: pa.Array) -> np.ndarray:
+        """Which bytes go, by the names of the contexts and of the windows to remove."""
+        change = np.zeros(len(self.buf) + 1, np.int32)
+        name, lo, hi = self.contexts()
+        hit = members(whole, self.row, name)
+        np.add.at(change, lo[hit], 1)
+        np.add.at(change, hi[hit], -1)
+        asked = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(windows), 0), np.int64)
+        size = np.maximum(np.diff(self.at) - self.length + 1, 0) * (asked > 0)
+        row = np.repeat(np.arange(len(size)), size)
+        start = self.at[:-1][row] + np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+        if len(start):
+            start = start[members(windows, row, self.levels[self.length][start])]
+        np.add.at(change, start, 1)
+        np.add.at(change, start + self.length, -1)
+        return np.cumsum(change[:-1]) > 0
 
 
 def members(lists: pa.Array, row: np.ndarray, name: np.ndarray) -> np.ndarray:
@@ -171,18 +208,18 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for b in pieces(batches):
             s = Slice(b, length)
             s.keep(members(b.column("grams"), s.row, s.code))
-            name, lo, hi = s.contexts()
+            name, _, _ = s.contexts()
+            one = distinct_rows(s.row, name)
             left, right = s.sides()
-            spot = s.spots(s.row, lo, hi)
-            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(s.row)), *map(signed, (name, left, right, spot))], ["id", "name", "left", "right", "spot"])
+            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(s.row[one])), *(signed(x[one]) for x in (name, left, right))], ["id", "name", "left", "right"])
 
     bucket = Window.partitionBy("name").orderBy("id")
-    found = sized.join(per_doc, "id").mapInArrow(contexts, f"id {kind}, name long, left long, right long, spot long")
+    found = sized.join(per_doc, "id").mapInArrow(contexts, f"id {kind}, name long, left long, right long")
     found = found.select("*", (F.first("id").over(bucket.rowsBetween(Window.unboundedPreceding, Window.currentRow)) != F.col("id")).alias("later"))
-    found = found.select("id", *(F.when(~F.col("later"), F.col(c)).alias(c) for c in ("name", "left", "right")), F.when(F.col("later"), F.col("spot")).alias("spot"), "later")
+    found = found.select("id", "name", *(F.when(~F.col("later"), F.col(c)).alias(c) for c in ("left", "right")), "later")
     found = write_out(found, "suffix-contexts")
     discard(grams)
-    gone = write_out(found.where("later").groupBy("id").agg(F.collect_list("spot").alias("whole")), "suffix-gone")
+    gone = write_out(found.where("later").groupBy("id").agg(F.collect_list("name").alias("whole")), "suffix-gone")
     first = found.where("not later").select("id", "name", "left", "right")
     shared = {side: first.where(f"{side} != 0").groupBy(side).agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a != z").select(side, F.lit(True).alias(f"is_{side}")) for side in ("left", "right")}
     still = first.join(shared["left"], "left", "left").join(shared["right"], "right", "left").where("is_left OR is_right")
@@ -198,29 +235,20 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             which = left | right
             s.keep(which)
             row, start = s.windows(left[which], right[which])
-            spot = s.spots(row, start, start + length)
-            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(row)), signed(s.names(start)), signed(spot)], ["id", "name", "spot"])
+            name = s.levels[length][start] if len(start) else s.code[:0]
+            one = distinct_rows(row, name)
+            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(row[one])), signed(name[one])], ["id", "name"])
 
-    windows = sized.join(asked, "id").mapInArrow(last, f"id {kind}, name long, spot long")
-    windows = windows.select("id", "spot", F.first("id").over(bucket.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("first")).where("id > first")
-    windows = write_out(windows.groupBy("id").agg(F.collect_list("spot").alias("windows")), "suffix-windows")
+    windows = sized.join(asked, "id").mapInArrow(last, f"id {kind}, name long")
+    windows = windows.select("id", "name", F.first("id").over(bucket.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("first")).where("id > first")
+    windows = write_out(windows.groupBy("id").agg(F.collect_list("name").alias("windows")), "suffix-windows")
     discard(asked)
     told = gone.join(windows, "id", "full")
 
     def cut(batches):
         for b in pieces(batches):
-            buf, at = text_buffer(b.column("text"))
-            change = np.zeros(len(buf) + 1, np.int32)
-            spots = b.column("spots")
-            size = np.asarray(pa.compute.list_value_length(spots), np.int64)
-            row = np.repeat(np.arange(len(size)), size)
-            spot = np.asarray(spots.flatten(), np.int64).view(np.uint64)
-            own = (spot >> U(48)) == tags(buf, at)[row]
-            row, spot = row[own], spot[own]
-            lo = (spot >> U(16) & U(0xFFFFFFFF)).astype(np.int64) + at[row]
-            np.add.at(change, lo, 1)
-            np.add.at(change, lo + (spot & U(0xFFFF)).astype(np.int64), -1)
-            gone_bytes = np.cumsum(change[:-1]) > 0
+            s = Slice(b, length)
+            buf, at, gone_bytes = s.buf, s.at, s.gone(b.column("whole"), b.column("windows"))
             kept, spans, removed = [], [], []
             for a, z in zip(at[:-1].tolist(), at[1:].tolist()):
                 g = gone_bytes[a:z]
@@ -234,7 +262,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 ["id", "n_bytes", "n_removed", "n_spans", "kept", "spans"],
             )
 
-    joined = rows.join(told, "id", "left").select("id", "text", F.concat(*(F.coalesce(c, F.array().cast("array<long>")) for c in ("whole", "windows"))).alias("spots"))
+    joined = rows.join(told, "id", "left").select("id", "text", "whole", "windows")
     return joined.mapInArrow(cut, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept binary, spans array<long>")
 
 
