@@ -9,12 +9,13 @@ threshold and the expected severity, their sum.
 The model is fitted on a bounded sample of labelled texts: at most max_rows, those with the
 smallest hash of their id; features seen in fewer than least_docs of them are left out, and an L1
 penalty that falls with the sample's size keeps the weights sparse; weights that the penalty holds
-at zero after the first steps leave the fit.  Fitting runs on the driver over the sampled texts' feature
-numbers; scoring reads all texts.
+at zero after the first steps leave the fit.  Fitting is one task over the sampled texts' feature
+numbers, so the driver gets the weights alone; scoring reads all texts.
 
 Nulls and odd inputs: a null or wordless text has no features and gets the prior severity; a null
 id is scored; null grades and labels without a text teach nothing; several grades of one id all
-count; with no labelled text, or only grade 0, nothing is rejected.
+count; with no labelled text, or only grade 0, nothing is rejected; ids with equal hashes are taken
+in the order of id and grade; an input column named like a result column is replaced by it.
 """
 
 from __future__ import annotations
@@ -24,10 +25,10 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import pieces, temporary
 
 BUCKETS = 1 << 20
 MAX_ROWS = 12_000
@@ -49,14 +50,16 @@ def text_features(text: str | None) -> np.ndarray:
 class OrdinalModel:
     weights: dict[int, float] = field(default_factory=dict)
     thresholds: list[float] = field(default_factory=list)
+    table: np.ndarray | None = field(default=None, repr=False, compare=False)  # made once a worker
 
     def severity(self, texts: list[str | None]) -> np.ndarray:
         """(texts, thresholds): probability of reaching each grade."""
         if not self.thresholds:
             return np.zeros((len(texts), 0))
-        table = np.zeros(BUCKETS)
-        table[list(self.weights)] = list(self.weights.values())
-        z = np.array([table[text_features(t)].sum() for t in texts])
+        if self.table is None:
+            self.table = np.zeros(BUCKETS)
+            self.table[list(self.weights)] = list(self.weights.values())
+        z = np.array([self.table[text_features(t)].sum() for t in texts])
         return 1 / (1 + np.exp(-np.clip(z[:, None] - np.array(self.thresholds), -40, 40)))
 
 
@@ -112,29 +115,49 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, least_docs: int = LE
     return OrdinalModel({int(names[i]): float(w[i]) for i in np.flatnonzero(w)}, theta.tolist())
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, grade: Column, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS) -> OrdinalModel:
+def sampled(labelled: DataFrame, max_rows: int) -> DataFrame:
+    """The max_rows rows with the smallest hash of their id; few rows reach the sort, whatever the number of partitions."""
+    order = F.xxhash64(F.lit(11), "doc_id")
+    n = labelled.count()
+    wanted = min(n, max_rows)
+    bar = int(-(2**63) + min(1.0, (1.5 * max_rows + 100) / max(n, 1)) * (2**64 - 1))
+    low = labelled.where(order <= F.lit(min(bar, 2**63 - 1)))
+    if low.count() < wanted:  # ids that repeat can crowd above the bar
+        low = labelled
+    return low.orderBy(order, "doc_id", "grade").limit(max_rows)
+
+
+def fit_toxicity(
+    docs: DataFrame, labels: DataFrame, grade: Column, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS
+) -> OrdinalModel:
     """Fit on at most max_rows labelled texts; grade: Column of labels, a whole number from 0."""
-    labelled = labels.select(F.col(id_col).alias("doc_id"), grade.cast("int").alias("grade")).where(F.col("grade").isNotNull() & F.col("doc_id").isNotNull())
-    sample = labelled.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id", "grade").limit(max_rows)
+    known = labels.select(F.col(id_col).alias("doc_id"), grade.cast("int").alias("grade"))
+    sample = sampled(known.where(F.col("grade").isNotNull() & F.col("doc_id").isNotNull()), max_rows)
 
     def number(batches):
         for b in pieces(batches):
-            yield pa.RecordBatch.from_arrays([b.column("grade"), pa.array([text_features(t).tobytes() for t in b.column("text").to_pylist()], pa.binary())], ["grade", "f"])
+            found = [text_features(t).tobytes() for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("grade"), pa.array(found, pa.binary())], ["grade", "f"])
+
+    def fit(batches):
+        """All sampled rows in one task: the weights, then the thresholds under negative numbers."""
+        rows = [(g, bytes(f)) for b in batches for g, f in zip(b.column("grade").to_pylist(), b.column("f").to_pylist())]
+        rows.sort()
+        model = fit_ordinal([np.frombuffer(f, np.int32) for _, f in rows], np.array([g for g, _ in rows], np.int64))
+        names = [*model.weights, *range(-1, -1 - len(model.thresholds), -1)]
+        values = [*model.weights.values(), *model.thresholds]
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(values, pa.float64())], ["name", "value"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "doc_id")
-    found = rows.select("grade", "text").mapInArrow(number, "grade int, f binary").toArrow().sort_by([("grade", "ascending"), ("f", "ascending")])
-    grades, packed = np.asarray(found["grade"], np.int64), found["f"].combine_chunks()
-    if isinstance(packed, pa.ChunkedArray):
-        packed = packed.chunk(0) if packed.num_chunks else pa.array([], pa.binary())
-    model = fit_ordinal([np.frombuffer(x.as_buffer(), np.int32) for x in packed], grades)
-    del found, packed
-    pa.default_memory_pool().release_unused()
-    return model
+    found = rows.select("grade", "text").mapInArrow(number, "grade int, f binary").repartition(1).mapInArrow(fit, "name long, value double")
+    fitted = {r["name"]: r["value"] for r in found.collect()}
+    thresholds = [fitted[k] for k in sorted((k for k in fitted if k < 0), reverse=True)]
+    return OrdinalModel({k: v for k, v in fitted.items() if k >= 0}, thresholds)
 
 
-def toxicity(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text", reject_at: float = 0.5) -> DataFrame:
-    """Score every text; keeps all columns of docs and adds _expected_severity, _toxic (P(grade >= 1)) and _rejected."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def judge_with(spark: SparkSession, model: OrdinalModel):
+    """Text column -> struct of the expected severity and P(grade >= 1)."""
+    shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("struct<expected:double,toxic:double>")
     def judge(text):
@@ -143,7 +166,17 @@ def toxicity(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_
         p = shared.value.severity(text.tolist())
         return pd.DataFrame({"expected": p.sum(1), "toxic": p[:, 0] if p.shape[1] else np.zeros(len(p))})
 
-    return docs.withColumn("_judged", judge(F.col(text_col))).withColumns({"_expected_severity": F.col("_judged.expected"), "_toxic": F.col("_judged.toxic"), "_rejected": F.col("_judged.toxic") >= reject_at}).drop("_judged")
+    return judge
+
+
+def toxicity(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text", reject_at: float = 0.5) -> DataFrame:
+    """Score every text; keeps all columns of docs and adds _expected_severity, _toxic (P(grade >= 1)) and _rejected."""
+    name = temporary(docs, "judged")
+    toxic = F.col(name)["toxic"]
+    found = {"_expected_severity": F.col(name)["expected"], "_toxic": toxic, "_rejected": toxic >= reject_at}
+    own = [F.col(c) for c in docs.columns if c.lower() not in found]
+    judged = docs.withColumn(name, judge_with(docs.sparkSession, model)(F.col(text_col)))
+    return judged.select(*own, *(c.alias(new) for new, c in found.items()))
 
 
 def severity_grade() -> Column:
@@ -158,6 +191,10 @@ def op6_toxicity(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: drop the texts that are rejected."""
+    """Pipeline stage: drop the texts that are rejected.
+
+    A null or wordless text, a null id and repeated rows are judged like any other; without labels nothing goes; an empty
+    table stays empty; all columns pass through.
+    """
     model = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), severity_grade())
-    return toxicity(docs, model).where(~F.col("_rejected")).select(docs.columns)
+    return docs.where(judge_with(spark, model)("text")["toxic"] < 0.5)
