@@ -1,8 +1,9 @@
 """The estimate: requests against finished records, by staged retrieval, ranges by trade, factors and total.
 
 Every twentieth customer is a request; its trades, size, region and options are dealt by its key.
-Requests meet records by equal size (the request is dealt to the 13 sizes within its range), not all
-by all; only requests that find too few there are held against all records.
+The oracle joins requests with the records within their sizes.  Spark counts records by cell of size,
+region and flags, and cuts cells before requests meet them (`nearest_records`), so no pair of a request
+and a record is made that its list cannot hold.  Records and lists are written once and read again.
 """
 
 from __future__ import annotations
@@ -61,11 +62,86 @@ def flagged(case: str = "c", ask: str = "a") -> str:
     return "(" + " OR ".join(tests) + ")"
 
 
+def cost_columns() -> str:
+    return ", ".join(f"cost_{i}" for i in range(len(COSTS)))
+
+
+def record_cases(d) -> str:
+    """Records as the stored plans read them: `kinds` and `works` are bits, one for each kind of request whose flags a record has and one for each work."""
+    names = list(V.FLAG_WORDS)
+    kinds = []
+    for i, trades in enumerate(TRADES):
+        flags = dict.fromkeys(V.TRADE_FLAGS[t] for t in trades if t in V.TRADE_FLAGS)
+        kinds.append(f"CASE WHEN {' AND '.join(f'has_{names.index(f)}' for f in flags) or 'true'} THEN {1 << i} ELSE 0 END")
+    works = [f"CASE WHEN has_{i} THEN {1 << i} ELSE 0 END" for i in range(len(names))]
+    bucket = "CASE " + " ".join(f"WHEN region IN ({quoted(rs)}) THEN '{b}'" for b, rs in V.REGIONS.items()) + " END"
+    return f"""WITH {cases(d)} SELECT article_id, request, region, {bucket} AS bucket, size_pyeong, total_cost, cost_per_pyeong, partial, non_residential,
+  {' + '.join(kinds)} AS kinds, {' + '.join(works)} AS works, {cost_columns()} FROM case_"""
+
+
+def least(source: str, keys: str, order: str, k: int) -> str:
+    """Rows of `source` that are among the k first of a group once any one customer's rows are left out; 2 * k of a group at most.
+
+    A row goes if k rows of its own customer are before it, or k more rows than any one customer has before it.
+    """
+    return f"""SELECT * FROM (SELECT x.*, row_number() OVER (PARTITION BY {keys} ORDER BY {order}) AS i, max(j) OVER (PARTITION BY {keys} ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS most FROM (
+  SELECT y.*, row_number() OVER (PARTITION BY {keys}, request ORDER BY {order}) AS j FROM ({source}) y) x WHERE j <= {k}) z WHERE i <= {2 * k} AND i - 1 - most < {k}"""
+
+
+def nearest_records(asked: str, k: int) -> str:
+    """The k records nearest in size of every row (request_id, stage, kind, pyeong, bucket) of `asked` by its stage, from c (residential records).
+
+    Records are cut by size, region and flags, then by size, region and kind of request, then by equal requests; each
+    cut keeps what any customer may need, as a request leaves out the records of its own.
+    """
+    cell = "article_id, request, size_pyeong, bucket"
+    fits = f"(stage > 2 OR abs(size_pyeong - pyeong) <= {V.SIZE_RANGE}) AND (stage > 1 OR o.bucket = n.bucket)"
+    return f"""asked AS ({asked}), need AS (SELECT DISTINCT stage, kind, pyeong, CASE WHEN stage = 1 THEN bucket END AS bucket FROM asked),
+alike AS (SELECT {cell}, kinds FROM ({least('SELECT * FROM c', 'size_pyeong, bucket, kinds', 'article_id', k)}) a),
+of_kind AS (SELECT {cell}, kind FROM (SELECT a.*, explode({KINDS}) AS kind FROM alike a) b WHERE shiftright(kinds, kind) & 1 = 1 UNION ALL SELECT {cell}, -1 FROM alike),
+few AS (SELECT {cell}, kind FROM ({least('SELECT * FROM of_kind', 'size_pyeong, bucket, kind', 'article_id', k)}) a),
+listed AS (SELECT n.*, o.article_id, o.request, abs(size_pyeong - pyeong) AS gap FROM need n JOIN few o ON o.kind = CASE WHEN stage = 4 THEN -1 ELSE n.kind END AND {fits}),
+short AS (SELECT stage, kind, pyeong, bucket, article_id, request, gap FROM ({least('SELECT * FROM listed', 'stage, kind, pyeong, bucket', 'gap, article_id', k)}) a),
+told AS (SELECT /*+ BROADCAST(s) */ r.* FROM {{record_cases}} r JOIN (SELECT DISTINCT article_id FROM short) s ON r.article_id = s.article_id)
+SELECT p.stage, r.article_id, r.region, r.size_pyeong, r.total_cost, r.cost_per_pyeong, r.partial, {', '.join(f'r.cost_{i}' for i in range(len(COSTS)))}, request_id, pyeong, place FROM (
+  SELECT a.request_id, a.stage, a.pyeong, s.article_id, row_number() OVER (PARTITION BY a.request_id ORDER BY gap, s.article_id) AS place FROM asked a
+  JOIN short s ON a.stage = s.stage AND a.kind = s.kind AND a.pyeong = s.pyeong AND (CASE WHEN a.stage = 1 THEN a.bucket END) <=> s.bucket AND a.request_id <> s.request) p JOIN told r ON p.article_id = r.article_id WHERE place <= {k}"""
+
+
+KINDS = f"sequence(0, {len(TRADES) - 1})"
+RESIDENTIAL = "c AS (SELECT article_id, request, size_pyeong, bucket, kinds FROM {record_cases} WHERE NOT non_residential AND request IS NOT NULL)"
+
+
+def chosen_cases(d) -> str:
+    """`chosen` of `retrieved`: stages are settled on counts of cells, less those of the request's own records."""
+    near = f"abs(size_pyeong - pyeong) <= {V.SIZE_RANGE}"
+    count = lambda n, side: f"sum(CASE WHEN {near} AND {side}.bucket = g.bucket THEN {n} ELSE 0 END) AS n1, sum(CASE WHEN {near} THEN {n} ELSE 0 END) AS n2, coalesce(sum({n}), 0) AS n3"
+    left = lambda i: f"h.n{i} - coalesce(o.n{i}, 0) >= 3"
+    asked = f"""SELECT a.request_id, a.kind, a.pyeong, a.bucket, CASE WHEN {left(2)} THEN CASE WHEN {left(1)} THEN 1 ELSE 2 END WHEN {left(3)} THEN 3 ELSE 4 END AS stage
+  FROM ask a JOIN have h ON a.kind = h.kind AND a.pyeong = h.pyeong AND a.bucket <=> h.bucket LEFT JOIN own o ON a.request_id = o.request_id"""
+    return f"""WITH {requests(d)}, {RESIDENTIAL}, n AS (SELECT kinds, size_pyeong, bucket, count(*) AS n FROM c GROUP BY kinds, size_pyeong, bucket),
+kn AS (SELECT kind, size_pyeong, bucket, n FROM (SELECT n.*, explode({KINDS}) AS kind FROM n) z WHERE shiftright(kinds, kind) & 1 = 1),
+have AS (SELECT g.kind, pyeong, g.bucket, {count('n', 'kn')} FROM (SELECT DISTINCT kind, pyeong, bucket FROM ask) g LEFT JOIN kn ON g.kind = kn.kind GROUP BY g.kind, pyeong, g.bucket),
+own AS (SELECT request_id, {count('1', 'c')} FROM ask g JOIN c ON c.request = g.request_id AND shiftright(kinds, cast(kind as int)) & 1 = 1 GROUP BY request_id),
+{nearest_records(asked, V.FINAL)}"""
+
+
+def nearby_cases(d) -> str:
+    """The nearest records within size and region of the requests for part of a home."""
+    asked = "SELECT request_id, kind, pyeong, bucket, 1 AS stage FROM ask WHERE scope = '부분'"
+    return f"WITH {requests(d)}, {RESIDENTIAL}, {nearest_records(asked, V.PARTIAL_POOL)}"
+
+
+STORED = {"record_cases": record_cases, "chosen_cases": chosen_cases, "nearby_cases": nearby_cases}
+
+
 def retrieved(d) -> str:
     """chosen (request_id, stage, place, record...): the first stage that finds 3 residential records, its 15 nearest in size.
 
     Stages: size within 6 with region and flags; size with flags; flags; all.
     """
+    if d.__name__ == "Spark":
+        return f"{requests(d)}, chosen AS (SELECT * FROM {d.table('chosen_cases')})"
     record = ", ".join(["c.article_id", "c.region", "c.size_pyeong", "c.total_cost", "c.cost_per_pyeong", "c.partial", *(f"c.cost_{i}" for i in range(len(COSTS)))])
     return f"""{cases(d)}, {requests(d)},
 sized AS (SELECT request_id, step - {V.SIZE_RANGE} + pyeong AS size_pyeong FROM (SELECT a.request_id, a.pyeong, {d.explode(d.numbers(2 * V.SIZE_RANGE + 1))} AS step FROM ask a) z),
@@ -160,7 +236,9 @@ SELECT request_id, scope, cast(n_cases as bigint) AS n_cases, cast(lifting as bi
 
 def partial_retrieval(d):
     """Requests for part of a home: whether their 150 nearest records within size and region hold 8 partial ones, and how many of the first 15 of these have each trade."""
-    return f"""WITH {retrieved(d)}, pooled AS (SELECT * FROM (SELECT n.*, row_number() OVER (PARTITION BY request_id ORDER BY abs(size_pyeong - pyeong), article_id) AS place FROM near n WHERE here) z WHERE place <= {V.PARTIAL_POOL}),
+    pooled = f"SELECT * FROM (SELECT n.*, row_number() OVER (PARTITION BY request_id ORDER BY abs(size_pyeong - pyeong), article_id) AS place FROM near n WHERE here) z WHERE place <= {V.PARTIAL_POOL}"
+    start = f"{requests(d)}, pooled AS (SELECT * FROM {d.table('nearby_cases')})" if d.__name__ == "Spark" else f"{retrieved(d)}, pooled AS ({pooled})"
+    return f"""WITH {start},
 part AS (SELECT p.*, row_number() OVER (PARTITION BY request_id ORDER BY place) AS i FROM pooled p WHERE partial)
 SELECT a.request_id, count(p.request_id) AS n_partial, count(p.request_id) >= {V.PARTIAL_CASES} AS enough, cast(sum(CASE WHEN i <= {V.FINAL} AND ({' OR '.join(f'(a.kind = {k} AND ({asked_sum(k)}) > 0)' for k in range(len(TRADES)))}) THEN 1 ELSE 0 END) as bigint) AS n_with_value
 FROM ask a LEFT JOIN part p ON a.request_id = p.request_id WHERE a.scope = '부분' GROUP BY a.request_id"""
@@ -181,7 +259,8 @@ def line_specs(d):
     low, high = f"CASE WHEN n < 4 THEN 0 ELSE {d.div('n', '4')} END", f"CASE WHEN n < 4 THEN n - 1 ELSE {d.div('3 * n', '4')} END"
     tidy = d.sub("description", "([0-9]+)[×✕*+]([0-9]+)", r"$1×$2" if d.__name__ == "Spark" else r"\1×\2")
     cut = lambda side: f"CASE WHEN mid > 0 AND hi > lo * 4 THEN {side} END"
-    return f"""WITH {covered(d)}, spec AS (SELECT u.request_id, CASE WHEN {trade_of(d, 'category')} IN ('목공', '창호') AND {is_door(d)} THEN '도어' ELSE {trade_of(d, 'category')} END AS trade, {tidy} AS name, amount AS x
+    start = f"{items(d)}, {covered(d)}" if d.__name__ == "Spark" else covered(d)
+    return f"""WITH {start}, spec AS (SELECT u.request_id, CASE WHEN {trade_of(d, 'category')} IN ('목공', '창호') AND {is_door(d)} THEN '도어' ELSE {trade_of(d, 'category')} END AS trade, {tidy} AS name, amount AS x
   FROM used u JOIN item i ON u.article_id = i.article_id WHERE amount > 0 AND description <> ''),
 m AS (SELECT request_id, greatest(2, cast(ceil(count(*) * 0.15) as bigint)) AS least_lines FROM used GROUP BY request_id),
 r AS (SELECT request_id, trade, name, x, count(*) OVER (PARTITION BY request_id, trade, name) AS n, row_number() OVER (PARTITION BY request_id, trade, name ORDER BY x) - 1 AS i, 1 AS k FROM spec WHERE trade IS NOT NULL),

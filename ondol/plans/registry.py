@@ -6,14 +6,31 @@ import re
 
 from ..functions.dialect import Duck, Spark
 from . import catalogue, estimates, evaluation, ingest, measures, quotes, reports, retrieval, scalars
+from .stored import discard, store
+
+STORED = {name: plan(Spark) for name, plan in estimates.STORED.items()}
+
+
+def named(spark, sf_dir: str, text: str) -> dict:
+    return {t: table(spark, sf_dir, t) for t in set(re.findall(r"(?<!\{)\{(\w+)\}(?!\})", text))}
+
+
+def table(spark, sf_dir: str, name: str):
+    """A table of the inputs, or one of STORED, which is written first; stored tables that only it reads are deleted again."""
+    if name not in STORED:
+        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    read = named(spark, sf_dir, STORED[name])
+    made = store(spark.sql(STORED[name], **read), name)
+    for t in STORED.keys() & read.keys():
+        discard(read[t])
+    return made
 
 
 def query(plan):
     text = plan(Spark)
-    tables = set(re.findall(r"(?<!\{)\{(\w+)\}(?!\})", text))
 
     def run(spark, sf_dir: str):
-        return spark.sql(text, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables})
+        return spark.sql(text, **named(spark, sf_dir, text))
 
     return run
 
