@@ -5,10 +5,10 @@ from __future__ import annotations
 import re
 
 from ..functions.dialect import Duck, Spark
-from . import catalogue, estimates, evaluation, ingest, measures, quotes, reports, retrieval, scalars
+from . import catalogue, estimates, evaluation, ingest, measures, quotes, reports, retrieval, scalars, vectors
 from .stored import discard, store
 
-STORED = {name: plan(Spark) for name, plan in estimates.STORED.items()}
+STORED = {name: plan(Spark) for name, plan in (estimates.STORED | retrieval.STORED).items()}
 
 
 def named(spark, sf_dir: str, text: str) -> dict:
@@ -17,6 +17,8 @@ def named(spark, sf_dir: str, text: str) -> dict:
 
 def table(spark, sf_dir: str, name: str):
     """A table of the inputs, or one of STORED, which is written first; stored tables that only it reads are deleted again."""
+    if best := re.fullmatch(r"hits_(\d+)(_other)?", name):
+        return vectors.hits(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), retrieval.EVERY, int(best[1]), bool(best[2]))
     if name not in STORED:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     read = named(spark, sf_dir, STORED[name])

@@ -1,7 +1,7 @@
 """Plans of retrieval: every query row (id divisible by 20) against all rows, with the query's id in the result.
 
-Vector searches cross the stated query set with all rows; `row_number() <= k` becomes a limit a
-group and partition before the shuffle, so only the best of each partition travel.
+Vector searches cross the stated query set with all rows; in Spark by blocks (`vectors`), of which only
+the best of each query travel.
 """
 
 from __future__ import annotations
@@ -11,8 +11,10 @@ POOL = 40  # candidates of a query before fusion
 EVERY = 20  # every twentieth row is a query
 
 
-def vector_hits(d, keep: str = "true") -> str:
-    """Rows (query_id, vec_id, label, similarity) of every query with all other rows that `keep` allows."""
+def vector_hits(d, k: int, keep: str = "true") -> str:
+    """Rows (query_id, vec_id, label, similarity) of every query with all other rows that `keep` allows; in Spark with those that can be among its k best."""
+    if d.__name__ == "Spark":
+        return f"SELECT * FROM {d.table(f'hits_{k}' + ('_other' if keep != 'true' else ''))}"
     e = d.table("embeddings")
     return f"""SELECT query_id, vec_id, label, round({d.cosine('embedding', 'qv')}, 6) AS similarity
   FROM {e} CROSS JOIN (SELECT vec_id AS query_id, label AS ql, embedding AS qv FROM {e} WHERE vec_id % {EVERY} = 0) q WHERE vec_id <> query_id AND {keep}"""
@@ -23,17 +25,17 @@ def nearest(hits: str, k: int, score: str = "similarity", row: str = "vec_id") -
 
 
 def vector_topk(d):
-    return f"SELECT query_id, vec_id, similarity, place FROM ({nearest(vector_hits(d), MOST)}) t"
+    return f"SELECT query_id, vec_id, similarity, place FROM ({nearest(vector_hits(d, MOST), MOST)}) t"
 
 
 def leave_out_topk(d):
     """Rows of the query's own label leave before the limit."""
-    return f"SELECT query_id, vec_id, label, similarity FROM ({nearest(vector_hits(d, 'label <> ql'), MOST)}) t"
+    return f"SELECT query_id, vec_id, label, similarity FROM ({nearest(vector_hits(d, MOST, 'label <> ql'), MOST)}) t"
 
 
 def vector_topk_postfilter(d):
     """The filter comes after the 150 nearest, so fewer than asked for may be left."""
-    kept = f"SELECT query_id, vec_id, label, similarity FROM ({nearest(vector_hits(d), 150)}) t WHERE label <> 1"
+    kept = f"SELECT query_id, vec_id, label, similarity FROM ({nearest(vector_hits(d, 150), 150)}) t WHERE label <> 1"
     return f"SELECT query_id, vec_id, label, similarity FROM ({nearest(kept, MOST)}) u"
 
 
@@ -63,9 +65,15 @@ def bm25_topk(d):
     return f"WITH {bm25_scores(d)} SELECT query_id, doc_id, score, place FROM ({lexical(20)}) t"
 
 
+def pool_hits(d) -> str:
+    """The vector list of each query; Spark writes it once, as a fusion reads it more than once."""
+    return nearest(vector_hits(d, POOL), POOL)
+
+
 def fused(d) -> str:
     """Rank fusion, sum of 1 / (60 + rank), of the two lists of each query; ties keep the order of vectors."""
-    return f"""{bm25_scores(d)}, lex AS ({lexical(POOL)}), vec AS (SELECT query_id, vec_id AS doc_id, place FROM ({nearest(vector_hits(d), POOL)}) t),
+    pool = f"SELECT * FROM {d.table('pool_hits')}" if d.__name__ == "Spark" else pool_hits(d)
+    return f"""{bm25_scores(d)}, lex AS ({lexical(POOL)}), vec AS (SELECT query_id, vec_id AS doc_id, place FROM ({pool}) t),
 a AS (SELECT query_id, doc_id, place, place AS vec_place FROM vec UNION ALL SELECT query_id, doc_id, place, NULL FROM lex WHERE query_id IN (SELECT query_id FROM vec)),
 f AS (SELECT query_id, doc_id, round(sum(1.0 / (60 + place)), 9) AS score, max(vec_place) AS vec_place FROM a GROUP BY query_id, doc_id)"""
 
@@ -166,3 +174,4 @@ PLANS = (
     vector_topk, leave_out_topk, vector_topk_postfilter, bm25_topk, rrf_fusion, rerank_chain, precision_at_k, pool_recall, precision_summary, rank_ablation,
     staged_retrieval, filter_pass_counts, size_gap_histogram,
 )
+STORED = {"pool_hits": pool_hits}
