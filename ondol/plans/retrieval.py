@@ -70,10 +70,16 @@ def pool_hits(d) -> str:
     return nearest(vector_hits(d, POOL), POOL)
 
 
+def pool_words(d) -> str:
+    """The list by words of each query, written once like the vectors' one."""
+    return f"WITH {bm25_scores(d)} {lexical(POOL)}"
+
+
 def fused(d) -> str:
     """Rank fusion, sum of 1 / (60 + rank), of the two lists of each query; ties keep the order of vectors."""
     pool = f"SELECT * FROM {d.table('pool_hits')}" if d.__name__ == "Spark" else pool_hits(d)
-    return f"""{bm25_scores(d)}, lex AS ({lexical(POOL)}), vec AS (SELECT query_id, vec_id AS doc_id, place FROM ({pool}) t),
+    words = f"lex AS (SELECT * FROM {d.table('pool_words')})" if d.__name__ == "Spark" else f"{bm25_scores(d)}, lex AS ({lexical(POOL)})"
+    return f"""{words}, vec AS (SELECT query_id, vec_id AS doc_id, place FROM ({pool}) t),
 a AS (SELECT query_id, doc_id, place, place AS vec_place FROM vec UNION ALL SELECT query_id, doc_id, place, NULL FROM lex WHERE query_id IN (SELECT query_id FROM vec)),
 f AS (SELECT query_id, doc_id, round(sum(1.0 / (60 + place)), 9) AS score, max(vec_place) AS vec_place FROM a GROUP BY query_id, doc_id)"""
 
@@ -174,4 +180,4 @@ PLANS = (
     vector_topk, leave_out_topk, vector_topk_postfilter, bm25_topk, rrf_fusion, rerank_chain, precision_at_k, pool_recall, precision_summary, rank_ablation,
     staged_retrieval, filter_pass_counts, size_gap_histogram,
 )
-STORED = {"pool_hits": pool_hits}
+STORED = {"pool_hits": pool_hits, "pool_words": pool_words}

@@ -30,3 +30,10 @@ def test_rounding_is_that_of_decimals():
     import numpy as np
 
     assert list(vectors.rounded(np.array([0.1234565, -0.1234565, 0.0000005, -0.0000004, 1.0000000000000002]))) == [0.123457, -0.123457, 0.000001, 0.0, 1.0]
+
+
+@pytest.mark.parametrize("name", ["rrf_fusion", "rerank_chain", "rank_ablation"])
+def test_lists_are_made_once(spark, name):
+    """Both lists are stored, so a fusion that mentions them again does not rank again."""
+    plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "embedding" not in plan and "text" not in plan
