@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from ..functions import values as V
 from .catalogue import at
-from .quotes import cases, is_door, items, pick, quoted, trade_of
+from .quotes import CATEGORIES, CATEGORY_KEY, DESCRIPTION_KEY, DESCRIPTIONS, LINE_AMOUNT, REQUESTS, cases, full_costs, has, is_door, is_sash, items, pick, quoted, scope_tests, trade_of
 from .retrieval import EVERY
 
 TRADES = [("도배", "장판"), ("욕실",), ("도배", "마루", "욕실", "창호", "도어", "전기/조명", "목공"), ("창호",), ("주방", "가구"), ("도장", "필름", "철거"), ("장판", "마루", "도배", "욕실", "목공", "전기/조명", "마감/공과잡비")]
@@ -66,17 +66,56 @@ def cost_columns() -> str:
     return ", ".join(f"cost_{i}" for i in range(len(COSTS)))
 
 
+def line_kinds(d) -> str:
+    """kind_: each pair of a category and a description with its slot (its cost, or one of the parts of windows) and the bits of its flag words.
+
+    A line's rules read nothing but these two, so they are applied to pairs and not to lines.  A word of a flag holds no
+    blank, so it lies in one of them.  The last of each list is null, for keys that no word is dealt to.
+    """
+    trade = "CASE WHEN trade = '목공' AND door THEN '도어' ELSE trade END"
+    slots = " ".join(f"WHEN '{t}' THEN {i}" for i, t in enumerate(COSTS))
+    bits = " + ".join(f"CASE WHEN {has('category', ws)} OR {has('description', ws)} THEN {1 << i} ELSE 0 END" for i, ws in enumerate(V.FLAG_WORDS.values()))
+    return f"""kind_ AS (SELECT c, t, CASE WHEN trade <> '창호' THEN CASE {trade} {slots} END WHEN trade IS NULL THEN NULL WHEN door THEN {DOOR} WHEN sash AND NOT door THEN {SASH} WHEN NOT door AND NOT sash THEN {GENERIC} END AS slot, bits FROM (
+  SELECT c, t, {trade_of(d, 'category')} AS trade, {is_door(d)} AS door, {is_sash(d)} AS sash, {bits} AS bits
+  FROM (SELECT posexplode(array({quoted(CATEGORIES)}, NULL)) AS (c, category)) x CROSS JOIN (SELECT posexplode(array({quoted(DESCRIPTIONS)}, NULL)) AS (t, description)) y) z)"""
+
+
+DOOR, SASH, GENERIC = (len(COSTS) + i for i in range(3))
+
+
 def record_cases(d) -> str:
-    """Records as the stored plans read them: `kinds` and `works` are bits, one for each kind of request whose flags a record has and one for each work."""
+    """Records as the stored plans read them: `kinds` and `works` are bits, one for each kind of request whose flags a record has and one for each work.
+
+    The same records as `cases`, from one sum of an order's lines; an order's key that repeats has its lines once for each row
+    and the largest of its rows' costs.
+    """
     names = list(V.FLAG_WORDS)
     kinds = []
     for i, trades in enumerate(TRADES):
-        flags = dict.fromkeys(V.TRADE_FLAGS[t] for t in trades if t in V.TRADE_FLAGS)
-        kinds.append(f"CASE WHEN {' AND '.join(f'has_{names.index(f)}' for f in flags) or 'true'} THEN {1 << i} ELSE 0 END")
-    works = [f"CASE WHEN has_{i} THEN {1 << i} ELSE 0 END" for i in range(len(names))]
+        flags = sum(1 << names.index(f) for f in dict.fromkeys(V.TRADE_FLAGS[t] for t in trades if t in V.TRADE_FLAGS))
+        kinds.append(f"CASE WHEN works & {flags} = {flags} THEN {1 << i} ELSE 0 END")
     bucket = "CASE " + " ".join(f"WHEN region IN ({quoted(rs)}) THEN '{b}'" for b, rs in V.REGIONS.items()) + " END"
-    return f"""WITH {cases(d)} SELECT article_id, request, region, {bucket} AS bucket, size_pyeong, total_cost, cost_per_pyeong, partial, non_residential,
-  {' + '.join(kinds)} AS kinds, {' + '.join(works)} AS works, {cost_columns()} FROM case_"""
+    dealt = lambda key, words: f"CASE WHEN ({key}) % {len(words)} >= 0 THEN ({key}) % {len(words)} ELSE {len(words)} END"
+    asked = lambda f: f"CASE o_orderkey % {len(REQUESTS)} " + " ".join(f"WHEN {i} THEN {f(text)}" for i, text in enumerate(REQUESTS)) + " END"
+    words = asked(lambda text: sum(1 << i for i, ws in enumerate(V.FLAG_WORDS.values()) if any(w in text for w in ws)))
+    shop = asked(lambda text: str(any(w in text for w in V.NON_RESIDENTIAL)).lower())
+    part = {DOOR: "door", SASH: "sash", GENERIC: "generic"}
+    sums = ", ".join(f"sum(CASE WHEN slot = {i} THEN amount ELSE 0 END) AS {part.get(i, f'sum_{i}')}" for i in range(len(COSTS) + 3))
+    own = {t: f"cast(sum_{i} * copies as double)" for i, t in enumerate(COSTS)}
+    own["도어"] += " + CASE WHEN door <= 0 THEN 0.0D WHEN sash <= 0 THEN cast((door + generic) * copies as double) ELSE door * copies + generic * copies * (1 - cast(sash as double) / (sash + door)) END"
+    own["창호"] = "CASE WHEN door <= 0 THEN cast((sash + generic) * copies as double) WHEN sash <= 0 THEN 0.0D ELSE sash * copies + generic * copies * (cast(sash as double) / (sash + door)) END"
+    costs = ", ".join(f"{x} AS part_{i}" for i, x in enumerate(own.values()))
+    line_sum = " + ".join(f"part_{i}" for i in range(len(COSTS)))
+    scaled = ", ".join(d.long(f"CASE WHEN over THEN part_{i} * scale ELSE part_{i} END") + f" AS cost_{i}" for i in range(len(COSTS)))
+    return f"""WITH {line_kinds(d)},
+sums AS (SELECT /*+ BROADCAST(k) */ l_orderkey, bit_or(bits) AS bits, {sums} FROM (SELECT l_orderkey, coalesce(greatest({LINE_AMOUNT}, 0), 0) AS amount, {dealt(CATEGORY_KEY, CATEGORIES)} AS c, {dealt(DESCRIPTION_KEY, DESCRIPTIONS)} AS t FROM {d.table('lineitem')}) l
+  JOIN kind_ k ON l.c = k.c AND l.t = k.t GROUP BY l_orderkey),
+total AS (SELECT o_orderkey AS article_id, o_custkey AS request, 10 + o_orderkey % 40 AS size_pyeong, {pick('o_custkey', [r for rs in V.REGIONS.values() for r in rs])} AS region, {shop} AS non_residential, coalesce({words}, 0) AS asked, cast(floor(o_totalprice * 100) as bigint) AS total_cost FROM {d.table('orders')} WHERE o_orderkey IS NOT NULL),
+same AS (SELECT total.*, count(*) OVER (PARTITION BY article_id) AS copies, max(total_cost) OVER (PARTITION BY article_id) AS most_total, min(coalesce(total_cost, 0)) OVER (PARTITION BY article_id) AS least_total FROM total),
+part_ AS (SELECT same.*, asked | bits AS works, {costs} FROM same JOIN sums ON article_id = l_orderkey),
+rec AS (SELECT article_id, request, size_pyeong, region, non_residential, works, total_cost, {scaled} FROM (SELECT y.*, least_total > 0 AND line_sum > most_total * 1.3 AS over, cast(most_total as double) / nullif(line_sum, 0) AS scale FROM (SELECT part_.*, {line_sum} AS line_sum FROM part_) y) z),
+case_ AS (SELECT rec.*, {bucket} AS bucket, CASE WHEN size_pyeong > 0 THEN {d.div('total_cost', 'size_pyeong')} ELSE 0 END AS cost_per_pyeong, NOT ({full_costs('({})'.format(' + '.join(scope_tests())))}) AS partial FROM rec)
+SELECT article_id, request, region, bucket, size_pyeong, total_cost, cost_per_pyeong, partial, non_residential, {' + '.join(kinds)} AS kinds, works, {cost_columns()} FROM case_"""
 
 
 def least(source: str, keys: str, order: str, k: int) -> str:

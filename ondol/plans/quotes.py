@@ -16,6 +16,8 @@ DESCRIPTIONS = [
     "철거 일식", "조명 서비스", "타일 540*540", "별도 협의", "합계", "LED 등기구(20W)", "몰딩", "콘센트", "욕실 소계", "",
 ]
 UNITS = ["식", "평", "㎡", "EA", "", "M/D"]
+CATEGORY_KEY, DESCRIPTION_KEY = "l_partkey", "l_suppkey * 3 + l_partkey + l_linenumber"
+LINE_AMOUNT = "CASE WHEN (l_partkey + l_suppkey) % 11 = 0 THEN 0 ELSE cast(floor(l_extendedprice / 5000) + 1 as bigint) * 500000 END"
 REQUESTS = ["도배 장판 견적 부탁", "상가 리모델링", "욕실 타일 교체", "", "32평 아파트 창호 도어"]
 
 
@@ -42,11 +44,10 @@ def clean(x: str) -> str:
 
 def items(d) -> str:
     """item: the lines of all quotes."""
-    amount = "CASE WHEN (l_partkey + l_suppkey) % 11 = 0 THEN 0 ELSE cast(floor(l_extendedprice / 5000) + 1 as bigint) * 500000 END"
     unit_price = f"CASE WHEN l_suppkey % 7 = 0 THEN 0 WHEN l_suppkey % 13 = 0 THEN amount + 1 ELSE {d.div('amount', 'quantity')} END"
     return f"""raw_item AS (SELECT l_orderkey AS article_id, o_custkey AS request, row_number() OVER (PARTITION BY l_orderkey ORDER BY {LINE_ORDER}) AS pos,
-  {pick('l_partkey', CATEGORIES)} AS category, {pick('l_suppkey * 3 + l_partkey + l_linenumber', DESCRIPTIONS)} AS description, {pick('cast(l_quantity as bigint)', UNITS)} AS unit,
-  cast(greatest(l_quantity, 1) as bigint) AS quantity, {amount} AS amount, l_suppkey, 10 + o_orderkey % 40 AS size_pyeong FROM {d.table('lineitem')} JOIN {d.table('orders')} ON l_orderkey = o_orderkey),
+  {pick(CATEGORY_KEY, CATEGORIES)} AS category, {pick(DESCRIPTION_KEY, DESCRIPTIONS)} AS description, {pick('cast(l_quantity as bigint)', UNITS)} AS unit,
+  cast(greatest(l_quantity, 1) as bigint) AS quantity, {LINE_AMOUNT} AS amount, l_suppkey, 10 + o_orderkey % 40 AS size_pyeong FROM {d.table('lineitem')} JOIN {d.table('orders')} ON l_orderkey = o_orderkey),
 item AS (SELECT article_id, request, pos, category, description, unit, quantity, {unit_price} AS unit_price, amount, size_pyeong FROM raw_item)"""
 
 
@@ -306,18 +307,31 @@ def wide_costs() -> str:
     return ", ".join(f"cast(coalesce(max(CASE WHEN trade = '{t}' THEN cost END), 0) as bigint) AS cost_{i}" for i, t in enumerate(trades))
 
 
-def cases(d) -> str:
-    """case_ : finished records, one a quote: total, size, region, cost_i by trade, flags, cost a pyeong, partial or full scope."""
+def scope_costs() -> dict[str, str]:
+    """Of each group of costs that tells the scope, whether a record has any."""
     trades = list(dict.fromkeys([*V.CATEGORY_NAMES.values(), "도어"]))
-    col = {t: f"cost_{i}" for i, t in enumerate(trades)}
     read = list(dict.fromkeys(k for keys in V.TRADE_COSTS.values() for k in keys))  # only these trades tell the scope
     own = lambda t: "욕실" if t in ("욕실", "타일", "설비") else "창호" if t == "도어" else t
     groups: dict[str, list[str]] = {}
     for t in read:
-        groups.setdefault(own(t), []).append(col[t])
-    any_cost = {g: "(" + " OR ".join(f"{c} > 0" for c in cs) + ")" for g, cs in groups.items()}
-    n_trades = " + ".join(f"CASE WHEN {test} THEN 1 ELSE 0 END" for test in any_cost.values())
-    full = f"{any_cost['도배']} AND {any_cost['바닥']} AND {any_cost['욕실']} AND n_trades >= {V.FULL_SCOPE_TRADES}"
+        groups.setdefault(own(t), []).append(f"cost_{trades.index(t)}")
+    return {g: "(" + " OR ".join(f"{c} > 0" for c in cs) + ")" for g, cs in groups.items()}
+
+
+def scope_tests() -> list[str]:
+    return [f"CASE WHEN {test} THEN 1 ELSE 0 END" for test in scope_costs().values()]
+
+
+def full_costs(n_trades: str) -> str:
+    """Whether a record is a whole renovation."""
+    have = scope_costs()
+    return f"{have['도배']} AND {have['바닥']} AND {have['욕실']} AND {n_trades} >= {V.FULL_SCOPE_TRADES}"
+
+
+def cases(d) -> str:
+    """case_ : finished records, one a quote: total, size, region, cost_i by trade, flags, cost a pyeong, partial or full scope."""
+    trades = list(dict.fromkeys([*V.CATEGORY_NAMES.values(), "도어"]))
+    n_trades, full = " + ".join(scope_tests()), full_costs("n_trades")
     flags = ", ".join(f"{has('words', ws)} AS has_{i}" for i, ws in enumerate(V.FLAG_WORDS.values()))
     regions = [r for rs in V.REGIONS.values() for r in rs]
     text = d.joined("concat(category, ' ', description)", " ", "pos")
