@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -39,17 +40,24 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def write_out(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write df as Parquet in the shared folder and read it back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+@contextmanager
+def shuffle_files_go(spark: SparkSession):
+    """The shuffle files of executions inside go when each of them ends."""
     cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(cleanup, "false")
-    spark.conf.set(cleanup, "true")  # the shuffle files of this one execution go when it ends
+    spark.conf.set(cleanup, "true")
     try:
-        df.write.parquet(path)
+        yield
     finally:
         spark.conf.set(cleanup, before)
+
+
+def write_out(df: DataFrame, name: str) -> DataFrame:
+    """Cut the lineage: write df as Parquet in the shared folder and read it back."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    with shuffle_files_go(spark):
+        df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._written_to = path
     return table

@@ -2,7 +2,9 @@
 
 Writing.  Every page becomes one record; among payloads of at least least_bytes that are equal, the
 smallest page id is the response and the others are revisits without a body.  Records are written by
-Spark's text writer with the record terminator as line separator, so archives go to any store.
+Spark's text writer with the record terminator as line separator, so archives go to any store.  Pages
+are written in parts by a hash of the payload, so equal payloads meet in one part and the disk holds
+the shuffled pages of one part only beside the archives.
 
 Reading.  Archives are split anywhere, at any store, by Spark's text reader with the record magic as
 separator; every piece after a magic is a candidate record.  A task knows each piece's offset from
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import shared_dir, write_out
+from .common import shared_dir, shuffle_files_go, write_out
 
 MAGIC = b"WARC/1.1\r\n"
 END = "\r\n\r\n"
@@ -69,9 +71,12 @@ def as_records(pages: DataFrame, id_col: str, url_col: str, html_col: str, least
     return joined.select(record.alias("value"))
 
 
-def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 100) -> None:
-    """Write the archives of all pages into the folder path."""
-    as_records(pages, id_col, url_col, html_col, least_bytes).write.option("lineSep", END).text(path)
+def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 100, parts: int = 4) -> None:
+    """Write the archives of all pages into the folder path, a part of the payloads after another."""
+    part = F.pmod(F.xxhash64(F.coalesce(F.col(html_col), F.lit(""))), F.lit(parts))
+    with shuffle_files_go(pages.sparkSession):
+        for k in range(parts):
+            as_records(pages.where(part == k), id_col, url_col, html_col, least_bytes).write.mode("append").option("lineSep", END).text(path)
 
 
 def parse(record: bytes) -> dict | None:

@@ -200,3 +200,17 @@ def test_empty_tables(docs):
     assert suffix_dedup.suffix_dedup(none).isEmpty()
     assert lm_score.lm_score(none, lm_score.remainder("doc_id", 5) != 1).isEmpty()
     assert bpe.bpe_encode(none, bpe.vocabulary_path()).isEmpty()
+
+
+def test_warc_writes_parts_that_keep_equal_payloads_together(spark, tmp_path, monkeypatch):
+    """All pages were shuffled at once, which together with the archives was over three times the input."""
+    rows = [(i, f"http://a/{i}", None if i % 10 == 0 else f"{i % 40} é " * 60) for i in range(120)]
+    pages, made, seen = spark.createDataFrame(rows, "page_id long, url string, html string"), [], warc.as_records
+    monkeypatch.setattr(warc, "as_records", lambda part, *a: made.append(part) or seen(part, *a))
+    got = {r.page_id: (r.record_type, r.refers_to) for r in warc.round_trip(pages).collect()}
+    first = {}
+    for i, _, html in rows:
+        first.setdefault(html, i)
+    assert got == {i: ("revisit", first[h]) if h and first[h] != i else ("response", None) for i, _, h in rows}
+    held = [{r.page_id for r in part.collect()} for part in made]
+    assert len(held) > 1 and max(map(len, held)) < len(rows) and sorted(x for h in held for x in h) == list(range(len(rows)))
