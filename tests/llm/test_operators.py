@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 
 from ondol.llm import bpe, decontaminate, language, line_dedup, lm_score, near_dup, quality, suffix_dedup, toxicity, warc
@@ -214,3 +215,22 @@ def test_warc_writes_parts_that_keep_equal_payloads_together(spark, tmp_path, mo
     assert got == {i: ("revisit", first[h]) if h and first[h] != i else ("response", None) for i, _, h in rows}
     held = [{r.page_id for r in part.collect()} for part in made]
     assert len(held) > 1 and max(map(len, held)) < len(rows) and sorted(x for h in held for x in h) == list(range(len(rows)))
+
+
+def test_training_step_sums_only_repeated_rows():
+    """Every row went through the sum by rows before; results are those of plain loops."""
+    rng = np.random.default_rng(5)
+    for width in (1, 2, 5, 32, 33):
+        z = rng.normal(size=(50, width)).astype(np.float32)
+        assert (lm_score.most(z) == z.max(1, keepdims=True)).all()
+    words = np.sort(rng.integers(0, 1 << 63, 20, dtype=np.uint64))
+    for pick in (np.arange(64), np.zeros(64, np.int64), rng.integers(0, 20, 64)):
+        model = lm_score.Model(words, np.full(20, 5), 110.0, 0.5, 3, 256)
+        trainer, grad, table = lm_score.Trainer(model, 0.25), rng.normal(size=(64, 4)).astype(np.float32), model.weight[0]
+        want, seen = table.astype(np.float64), np.ones(256)
+        for r in set(pick.tolist()):
+            g = grad[pick == r].astype(np.float64).sum(0)
+            seen[r] += (g * g).sum()
+            want[r] -= 0.25 / np.sqrt(seen[r]) * g
+        trainer.move(table, pick, grad)
+        assert np.allclose(table, want, atol=1e-5) and np.allclose(trainer.seen[id(table)], seen, rtol=1e-5)
