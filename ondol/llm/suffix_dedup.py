@@ -8,8 +8,8 @@ count), so equal windows have the same anchor at the same place.
 
 Bucket identifiers.  The bucket of a suffix at depth q is named by its q-gram.  Every deeper name is
 made from two names of the level before: that of the suffix itself and, the pointer, that of the suffix
-at a later offset; 16 bytes give 32, and 32 give 50 (`refined`).  Names of contexts and half windows are
-pairs of such identifiers too, so bytes are read once, for the q-grams.
+at a later offset; 8 bytes, as they are, give 16, these 32, and 32 give 50 (`refined`; `names` where only
+some suffixes are asked).  Names of contexts and half windows are pairs of such identifiers too.
 
 1. Initial buckets: the q-grams at the anchors.  Buckets that hold one document are finished.
 2. Refinement: an anchor's context - all windows through it - is a finer bucket.  Where the bucket's
@@ -23,7 +23,7 @@ Every level only passes on the members of buckets that are still mixed, and hand
 only what concerns it: names of buckets to go on with, or of contexts and windows to remove, which the
 document finds again in its own text; so rows that share an id need no further key.  A document names
 a bucket once however often it holds it, so a bucket has at most one row per document, while documents
-hold many anchors; running windows keep no bucket in memory.
+hold many anchors; Spark keeps a bucket's first rows in memory and spills the rest.
 
 Nulls and odd inputs: a null text is empty; a row with a null id neither removes nor loses bytes;
 rows that repeat an id do not remove each other's bytes; shorter texts keep all bytes; empty tables
@@ -32,8 +32,6 @@ give no rows; texts of any length are taken whole.
 
 from __future__ import annotations
 
-from functools import cached_property
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
@@ -41,32 +39,52 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Lookup, U, discard, grams_hash, mixed, pieces, prefix_sums, text_buffer, write_out
+from .common import BASE, U, discard, mixed, pieces, text_buffer, write_out
 
 GRAM = 16
+PIECE, BLOCK = 256 << 10, 8 << 10  # bytes of texts, and suffixes named, at once: what is made of them stays in a core's cache
+
+
+def hold_memory() -> None:
+    """In a worker: after a large block went once, the allocator keeps freed memory for the next arrays instead of returning it each time."""
+    np.empty(31 << 20, np.uint8)
 
 
 def sliding(x: np.ndarray, w: int, op) -> np.ndarray:
-    """op over every w consecutive values, in a fixed number of passes."""
-    m = len(x) - w + 1
-    y = np.zeros(-(-len(x) // w) * w, x.dtype)
-    y[: len(x)] = x
-    y = y.reshape(-1, w)
-    ahead = op.accumulate(y, axis=1).ravel()
-    behind = op.accumulate(y[:, ::-1], axis=1)[:, ::-1].ravel()
-    return op(behind[:m], ahead[w - 1 : w - 1 + m])
-
-
-def refined(code: np.ndarray, gram: int, length: int) -> dict[int, np.ndarray]:
-    """Bucket identifiers of every suffix by depth: of each level the identifiers of two offsets name the next."""
-    levels = {gram: code}
-    depth, name = gram, code
-    while depth < length and len(name):
-        step = min(depth, length - depth)
-        name = mixed(name[:-step] * U(3) + name[step:]) if len(name) > step else name[:0]
-        depth += step
-        levels[depth] = name
-    return levels
+    """op, a minimum or maximum, over every w consecutive values: spans double until they reach w."""
+    span = 1
+    while span < w:
+        step = min(span, w - span)
+        x = op(x[:-step], x[step:])
+        span += step
+    return x
+
+
+def refined(name: np.ndarray, depth: int, length: int) -> np.ndarray:
+    """Bucket identifiers of every suffix at the length: of each level the identifiers of two offsets name the next."""
+    out = np.empty(max(len(name) - (length - depth), 0), np.uint64)
+    for a in range(0, len(out), BLOCK):
+        part, d = name[a : a + BLOCK + length - depth], depth
+        while d < length:
+            step = min(d, length - d)
+            part = mixed(part[:-step] * U(3) + part[step:])
+            d += step
+        out[a : a + BLOCK] = part
+    return out
+
+
+def grams(buf: np.ndarray, gram: int) -> np.ndarray:
+    """Names of every q-gram, 16 bytes at most: of two names of eight bytes at most, which are made of the bytes as they are."""
+    depth = min(8, gram)
+    out = np.empty(max(len(buf) - gram + 1, 0), np.uint64)
+    for a in range(0, len(out), BLOCK):
+        part = np.zeros(BLOCK + gram + 8, np.uint8)
+        part[: min(BLOCK + gram - 1, len(buf) - a)] = buf[a : a + BLOCK + gram - 1]
+        n = min(BLOCK, len(out) - a)
+        words = np.ndarray(n + gram - depth, "<u8", part, strides=(1,)) & U((1 << 8 * depth) - 1)
+        name = mixed(words)
+        out[a : a + n] = name[:n] * U(BASE) + name[gram - depth :] if gram > depth else name
+    return out
 
 
 class Slice:
@@ -76,34 +94,37 @@ class Slice:
         self.buf, self.at = text_buffer(batch.column("text"))
         self.length, self.gram = length, min(gram, length)
         n = len(self.buf)
+        self.depths = [self.gram]
+        while self.depths[-1] < length:
+            self.depths.append(min(2 * self.depths[-1], length))
         self.place = np.zeros(0, np.int64)
-        self.code = np.zeros(0, np.uint64)
+        self.codes = self.code = np.zeros(0, np.uint64)
         if n >= length:
             w = length - self.gram + 1
-            self.codes = code = grams_hash(prefix_sums(self.buf), self.gram)
-            low = sliding(code, w, np.minimum)
-            ends = self.at[1:-1]
-            across = np.zeros(len(low) + 1, np.int32)  # windows over the end of a text are void
-            np.add.at(across, np.clip(ends - length + 1, 0, len(low)), 1)
-            np.add.at(across, np.clip(ends, 0, len(low)), -1)
-            low[np.cumsum(across[:-1]) > 0] = 0
-            pad = np.zeros(w - 1, np.uint64)
-            high = sliding(np.concatenate([pad, low, pad]), w, np.maximum)
-            self.place = np.flatnonzero((high == code) & (high > 0))
-            self.code = code[self.place]
-        self.row = np.searchsorted(self.at, self.place, "right") - 1
+            self.codes = grams(self.buf, self.gram)
+            rank = np.maximum(self.codes.view("<u4")[1::2], np.uint32(1))  # equal ranks are ties
+            low = sliding(rank, w, np.minimum)
+            across = (self.at[1:-1, None] - np.arange(1, length)).ravel()
+            low[across[(across >= 0) & (across < len(low))]] = 0  # windows over the end of a text are void
+            padded = np.zeros(len(low) + 2 * (w - 1), np.uint32)
+            padded[w - 1 : w - 1 + len(low)] = low
+            self.place = np.flatnonzero(sliding(padded, w, np.maximum) == rank)
+            self.code = self.codes[self.place]
+        self.row = np.repeat(np.arange(len(self.at) - 1), np.diff(np.searchsorted(self.place, self.at)))
 
     def keep(self, which: np.ndarray) -> None:
         self.place, self.code, self.row = self.place[which], self.code[which], self.row[which]
 
-    @cached_property
-    def levels(self) -> dict[int, np.ndarray]:
-        return refined(self.codes, self.gram, self.length)
+    def names(self, start: np.ndarray, depth: int) -> np.ndarray:
+        """Bucket identifiers at the depth of the suffixes at the starts, as refined() has them for all."""
+        if depth == self.gram:
+            return self.codes[start]
+        before = max(d for d in self.depths if d < depth)
+        return mixed(self.names(start, before) * U(3) + self.names(start + (depth - before), before))
 
     def cover(self, lo: np.ndarray, hi: np.ndarray, depth: int) -> np.ndarray:
         """Names of the spans lo to hi, of depth to twice the depth, by the buckets at their two ends."""
-        name = self.levels[depth]
-        return mixed(name[lo] * U(3) + mixed(name[hi - depth] + (hi - lo).astype(np.uint64)))
+        return mixed(self.names(lo, depth) * U(3) + mixed(self.names(hi - depth, depth) + (hi - lo).astype(np.uint64)))
 
     def contexts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(name, first byte, end) of each anchor's context."""
@@ -119,7 +140,7 @@ class Slice:
         if not len(self.place):
             return self.code, self.code
         half = (self.length - self.gram + 1) // 2
-        depth = max(d for d in self.levels if d <= self.gram + half)
+        depth = max(d for d in self.depths if d <= self.gram + half)
         lo, hi = self.place - half, self.place + self.gram + half
         names = []
         for start, stop, inside, salt in ((lo, hi - half, lo >= self.at[self.row], 1), (lo + half, hi, hi <= self.at[self.row + 1], 2)):
@@ -131,13 +152,16 @@ class Slice:
     def windows(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, start) of the windows through the anchors that hold the marked halves."""
         reach, half = self.length - self.gram, (self.length - self.gram + 1) // 2
-        offset = np.arange(reach + 1)
-        start = self.place[:, None] - offset
-        ok = (start >= self.at[self.row][:, None]) & (start + self.length <= self.at[self.row + 1][:, None])
-        ok &= (left[:, None] & (offset >= half)) | (right[:, None] & (reach - offset >= half))
-        row = np.broadcast_to(self.row[:, None], start.shape)[ok]
-        start, first = np.unique(start[ok], return_index=True)
-        return row[first], start
+        change = np.zeros(len(self.buf) + 1, np.int32)
+        for which, most, least in ((left, reach, half), (right, reach - half, 0)):
+            place, row = self.place[which], self.row[which]
+            first = np.maximum(place - most, self.at[row])
+            end = np.minimum(place - least, self.at[row + 1] - self.length) + 1
+            some = first < end
+            np.add.at(change, first[some], 1)
+            np.add.at(change, end[some], -1)
+        start = np.flatnonzero(np.cumsum(change[:-1]) > 0)
+        return np.repeat(np.arange(len(self.at) - 1), np.diff(np.searchsorted(start, self.at))), start
 
     def gone(self, whole: pa.Array, windows: pa.Array) -> np.ndarray:
         """Which bytes go, by the names of the contexts and of the windows to remove."""
@@ -146,31 +170,55 @@ class Slice:
         hit = members(whole, self.row, name)
         np.add.at(change, lo[hit], 1)
         np.add.at(change, hi[hit], -1)
-        asked = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(windows), 0), np.int64)
-        size = np.maximum(np.diff(self.at) - self.length + 1, 0) * (asked > 0)
-        row = np.repeat(np.arange(len(size)), size)
-        start = self.at[:-1][row] + np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-        if len(start):
-            start = start[members(windows, row, self.levels[self.length][start])]
-        np.add.at(change, start, 1)
-        np.add.at(change, start + self.length, -1)
+        asked = listed(windows)[0]
+        if len(asked) and len(self.codes):
+            name = refined(self.codes, self.gram, self.length)
+            shift = U(64 - slots(len(asked)))
+            table = np.zeros(1 << slots(len(asked)), bool)
+            table[asked >> shift] = True
+            start = np.flatnonzero(table.take((name >> shift).view(np.int64)))  # names of any row asked, and some others
+            row = np.searchsorted(self.at, start, "right") - 1
+            start = start[members(windows, row, name[start]) & (start + self.length <= self.at[row + 1])]
+            np.add.at(change, start, 1)
+            np.add.at(change, start + self.length, -1)
         return np.cumsum(change[:-1]) > 0
 
 
-def members(lists: pa.Array, row: np.ndarray, name: np.ndarray) -> np.ndarray:
-    """Whether each (row, name) is in the row's list."""
+def slots(n: int) -> int:
+    """Bits of a table in which n names seldom meet."""
+    return max(4, int(n).bit_length() + 3)
+
+
+def listed(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(name, row) of the members of all lists; a null is empty."""
     if isinstance(lists, pa.ChunkedArray):
         lists = lists.combine_chunks()
-    flat = np.asarray(lists.flatten(), np.int64).view(np.uint64)
     size = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(lists), 0), np.int64)
-    owner = np.repeat(np.arange(len(size)), size)
-    tag = lambda r, x: mixed(x + r.astype(np.uint64) * U(0x9E3779B97F4A7C15))
-    return Lookup(np.unique(tag(owner, flat)))(tag(row, name)) >= 0
+    return np.asarray(lists.flatten(), np.int64).view(np.uint64), np.repeat(np.arange(len(size)), size)
+
+
+def members(lists: pa.Array, row: np.ndarray, name: np.ndarray) -> np.ndarray:
+    """Whether each (row, name) is in the row's list: a table of slots, and one more for the names that lost theirs."""
+    tag = lambda x, r: x + r.astype(np.uint64) * U(0x9E3779B97F4A7C15)
+    keys, wanted = tag(*listed(lists)), tag(name, row)
+    found, ask = np.zeros(len(wanted), bool), np.arange(len(wanted))
+    while len(keys) and len(ask):
+        shift = U(64 - slots(len(keys)))
+        table = np.full(1 << slots(len(keys)), -1, np.int32)
+        slot = (keys >> shift).view(np.int64)
+        table[slot] = np.arange(len(keys), dtype=np.int32)
+        at = table[(wanted[ask] >> shift).view(np.int64)]
+        ask, at = ask[at >= 0], at[at >= 0]
+        same = keys[at] == wanted[ask]
+        found[ask[same]] = True
+        ask = ask[~same]
+        keys = keys[keys[table[slot]] != keys]
+    return found
 
 
 def distinct_rows(row: np.ndarray, name: np.ndarray) -> np.ndarray:
-    """Index of one occurrence of each (row, name)."""
-    order = np.lexsort((name, row))
+    """Index of one occurrence of each (row, name); rows ascend."""
+    order = np.argsort(name, kind="stable")
     r, x = row[order], name[order]
     new = np.ones(len(r), bool)
     new[1:] = (r[1:] != r[:-1]) | (x[1:] != x[:-1])
@@ -187,25 +235,26 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     sized = rows.where(F.col("id").isNotNull() & (F.octet_length("text") >= length))
+    bucket = Window.partitionBy("name")  # sorted by one number, which Spark does without comparisons
 
     def initial(batches):
-        for b in pieces(batches):
+        hold_memory()
+        for b in pieces(batches, PIECE):
             s = Slice(b, length)
             one = distinct_rows(s.row, s.code)
             yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(s.row[one])), signed(s.code[one])], ["id", "name"])
 
     def mixed_buckets(table: DataFrame) -> DataFrame:
-        """(id, name, first) of the buckets that hold several documents."""
-        bucket = Window.partitionBy("name").orderBy("id")
-        ranked = table.select("id", "name", F.first("id").over(bucket.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("first"), F.lead("id").over(bucket).alias("after"))
-        return ranked.where((F.col("first") != F.col("id")) | (F.col("after") != F.col("id"))).select("id", "name", "first")
+        """(id, name) of the buckets that hold several documents."""
+        ranked = table.select("id", "name", F.min("id").over(bucket).alias("first"), F.max("id").over(bucket).alias("last"))
+        return ranked.where("first != last").select("id", "name")
 
-    grams = mixed_buckets(sized.mapInArrow(initial, f"id {kind}, name long")).select("id", "name")
-    grams = write_out(grams, "suffix-grams")
+    grams = write_out(mixed_buckets(sized.mapInArrow(initial, f"id {kind}, name long")), "suffix-grams")
     per_doc = grams.groupBy("id").agg(F.collect_list("name").alias("grams"))
 
     def contexts(batches):
-        for b in pieces(batches):
+        hold_memory()
+        for b in pieces(batches, PIECE):
             s = Slice(b, length)
             s.keep(members(b.column("grams"), s.row, s.code))
             name, _, _ = s.contexts()
@@ -213,9 +262,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             left, right = s.sides()
             yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(s.row[one])), *(signed(x[one]) for x in (name, left, right))], ["id", "name", "left", "right"])
 
-    bucket = Window.partitionBy("name").orderBy("id")
     found = sized.join(per_doc, "id").mapInArrow(contexts, f"id {kind}, name long, left long, right long")
-    found = found.select("*", (F.first("id").over(bucket.rowsBetween(Window.unboundedPreceding, Window.currentRow)) != F.col("id")).alias("later"))
+    found = found.select("*", (F.min("id").over(bucket) != F.col("id")).alias("later"))
     found = found.select("id", "name", *(F.when(~F.col("later"), F.col(c)).alias(c) for c in ("left", "right")), "later")
     found = write_out(found, "suffix-contexts")
     discard(grams)
@@ -228,38 +276,40 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     discard(found)
 
     def last(batches):
-        for b in pieces(batches):
+        hold_memory()
+        for b in pieces(batches, PIECE):
             s = Slice(b, length)
             name, _, _ = s.contexts()
             left, right = members(b.column("lefts"), s.row, name), members(b.column("rights"), s.row, name)
             which = left | right
             s.keep(which)
             row, start = s.windows(left[which], right[which])
-            name = s.levels[length][start] if len(start) else s.code[:0]
+            name = s.names(start, length)
             one = distinct_rows(row, name)
             yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(row[one])), signed(name[one])], ["id", "name"])
 
     windows = sized.join(asked, "id").mapInArrow(last, f"id {kind}, name long")
-    windows = windows.select("id", "name", F.first("id").over(bucket.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("first")).where("id > first")
+    windows = windows.select("id", "name", F.min("id").over(bucket).alias("first")).where("id > first")
     windows = write_out(windows.groupBy("id").agg(F.collect_list("name").alias("windows")), "suffix-windows")
     discard(asked)
     told = gone.join(windows, "id", "full")
 
     def cut(batches):
-        for b in pieces(batches):
+        hold_memory()
+        for b in pieces(batches, PIECE):
             s = Slice(b, length)
             buf, at, gone_bytes = s.buf, s.at, s.gone(b.column("whole"), b.column("windows"))
-            kept, spans, removed = [], [], []
-            for a, z in zip(at[:-1].tolist(), at[1:].tolist()):
-                g = gone_bytes[a:z]
-                edge = np.flatnonzero(np.diff(np.concatenate([[False], g, [False]]).astype(np.int8)))
-                kept.append(buf[a:z][~g].tobytes())
-                spans.append(edge)
-                removed.append(int(g.sum()))
-            n = np.diff(at)
+            before = np.concatenate([[0], np.cumsum(gone_bytes)])[at]
+            inner = gone_bytes[:-1] & gone_bytes[1:]
+            inner[at[(at > 0) & (at < len(buf))] - 1] = False
+            start = np.flatnonzero(gone_bytes & ~np.concatenate([[False], inner])[: len(buf)])
+            end = np.flatnonzero(gone_bytes & ~np.concatenate([inner, [False]])[: len(buf)]) + 1
+            until = np.searchsorted(start, at)
+            spans = np.stack([start, end], 1) - np.repeat(at[:-1], np.diff(until))[:, None]
+            kept = pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer((at - before).astype(np.int32)), pa.py_buffer(buf[~gone_bytes])])
+            spans = pa.ListArray.from_arrays(pa.array((2 * until).astype(np.int32)), pa.array(spans.ravel(), pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [b.column("id"), pa.array(n), pa.array(removed, pa.int64()), pa.array([len(e) // 2 for e in spans], pa.int64()), pa.array(kept, pa.binary()), pa.array(spans, pa.list_(pa.int64()))],
-                ["id", "n_bytes", "n_removed", "n_spans", "kept", "spans"],
+                [b.column("id"), pa.array(np.diff(at)), pa.array(np.diff(before), pa.int64()), pa.array(np.diff(until), pa.int64()), kept, spans], ["id", "n_bytes", "n_removed", "n_spans", "kept", "spans"]
             )
 
     joined = rows.join(told, "id", "left").select("id", "text", "whole", "windows")

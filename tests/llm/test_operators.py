@@ -7,9 +7,10 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from ondol.llm import bpe, decontaminate, language, line_dedup, lm_score, near_dup, quality, suffix_dedup, toxicity, warc
+from ondol.llm import bpe, common, decontaminate, language, line_dedup, lm_score, near_dup, quality, suffix_dedup, toxicity, warc
 
 random.seed(5)
 WORDS = [f"word{i}" for i in range(60)]
@@ -234,3 +235,53 @@ def test_training_step_sums_only_repeated_rows():
             want[r] -= 0.25 / np.sqrt(seen[r]) * g
         trainer.move(table, pick, grad)
         assert np.allclose(table, want, atol=1e-5) and np.allclose(trainer.seen[id(table)], seen, rtol=1e-5)
+
+
+def test_suffix_names_what_is_asked_by_blocks(monkeypatch):
+    """Names of all depths were made for every byte, from sums over the whole slice: 1318 CPU seconds a GB."""
+    batch = pa.RecordBatch.from_pydict({"text": [prose(9000), None, "short", prose(9000), ""]})
+    sizes = []
+    for module in (suffix_dedup, common):
+        monkeypatch.setattr(module, "mixed", lambda x, seen=module.mixed: sizes.append(len(x)) or seen(x))
+    s = suffix_dedup.Slice(batch, 50)
+    s.contexts(), s.sides()
+    assert sum(sizes) < 2.5 * len(s.buf) and max(sizes) < len(s.buf) / 8
+
+
+def test_suffix_slices_against_plain_python():
+    texts = [prose(40), None, "x" * 130, "short", BASE, "", BASE[7:300]]
+    batch = pa.RecordBatch.from_pydict({"text": texts})
+    for length in (7, 16, 33, 50):
+        s = suffix_dedup.Slice(batch, length)
+        data, reach = s.buf.tobytes(), length - s.gram
+        every = suffix_dedup.refined(s.codes, s.gram, length)
+        assert len(set(zip(every.tolist(), (data[i : i + length] for i in range(len(every)))))) == len(set(every.tolist())) == len({data[i : i + length] for i in range(len(every))})
+        assert (s.names(np.arange(len(every)), length) == every).all()
+        anchors, inside = set(s.place.tolist()), {(r, i) for r in range(len(texts)) for i in range(s.at[r], s.at[r + 1] - length + 1)}
+        assert all(anchors & set(range(i, i + reach + 1)) for _, i in inside)
+        left, right, half = s.place % 3 == 0, s.place % 2 == 0, (reach + 1) // 2
+        want = {p - o for p, a, z in zip(s.place.tolist(), left, right) for o in range(reach + 1) if a and o >= half or z and reach - o >= half}
+        row, start = s.windows(left, right)
+        assert list(zip(row.tolist(), start.tolist())) == sorted(x for x in inside if x[1] in want)
+
+
+def test_suffix_members():
+    lists = [[5, -7, 5], None, [], [-7, *range(0, 4000, 2)], [5] * 300]
+    row, name = np.repeat(np.arange(5), 4100), np.tile(np.arange(-50, 4050), 5)
+    got = suffix_dedup.members(pa.array(lists, pa.list_(pa.int64())), row, name.view(np.uint64))
+    assert got.tolist() == [n in (lists[r] or []) for r, n in zip(row.tolist(), name.tolist())]
+
+
+def test_suffix_dedup_other_lengths(spark, docs):
+    for length in (7, 33):
+        got, seen = {r.id: r for r in suffix_dedup.suffix_dedup(docs, length=length).collect()}, set()
+        for i, t in TEXTS:
+            b, gone, own = (t or "").encode(), set(), set()
+            for s in range(len(b) - length + 1):
+                own.add(b[s : s + length])
+                if b[s : s + length] in seen:
+                    gone.update(range(s, s + length))
+            seen |= own
+            spans = [k for k in range(len(b) + 1) if (k in gone) != (k - 1 in gone)]
+            assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, list(got[i].spans)) == (len(b), len(gone), len(spans) // 2, spans)
+            assert bytes(got[i].kept) == bytes(c for k, c in enumerate(b) if k not in gone)
