@@ -41,15 +41,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 @contextmanager
-def shuffle_files_go(spark: SparkSession):
-    """The shuffle files of executions inside go when each of them ends."""
-    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(cleanup, "false")
-    spark.conf.set(cleanup, "true")
+def setting(spark: SparkSession, key: str, value: str):
+    """A setting of Spark that has a default; it holds for executions inside."""
+    before = spark.conf.get(key)
+    spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(cleanup, before)
+        spark.conf.set(key, before)
+
+
+def shuffle_files_go(spark: SparkSession):
+    """The shuffle files of executions inside go when each of them ends."""
+    return setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
 def write_out(df: DataFrame, name: str) -> DataFrame:

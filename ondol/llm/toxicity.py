@@ -10,7 +10,8 @@ The model is fitted on a bounded sample of labelled texts: at most max_rows, tho
 smallest hash of their id; features seen in fewer than least_docs of them are left out, and an L1
 penalty that falls with the sample's size keeps the weights sparse; weights that the penalty holds
 at zero after the first steps leave the fit.  Fitting is one task over the sampled texts' feature
-numbers, so the driver gets the weights alone; scoring reads all texts.
+numbers, so the driver gets the weights alone; the task holds these numbers once, four bytes each,
+and works on them by parts.  Scoring reads all texts.
 
 Nulls and odd inputs: a null or wordless text has no features and gets the prior severity; a null
 id is scored; null grades and labels without a text teach nothing; several grades of one id all
@@ -20,6 +21,7 @@ in the order of id and grade; an input column named like a result column is repl
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -28,13 +30,15 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, temporary
+from .common import pieces, setting, temporary
 
 BUCKETS = 1 << 20
 MAX_ROWS = 12_000
 LEAST_DOCS = 5
 STEMS = (4, 5, 6, 7)
 WORD = regex.compile(r"\p{L}+")
+PART = 1 << 20  # feature numbers that the fit reads at once; their sums are added part by part, so it shows in the last digits
+BATCH = 4 << 20  # bytes of a batch on its way to the fit's workers
 
 
 def text_features(text: str | None) -> np.ndarray:
@@ -63,28 +67,67 @@ class OrdinalModel:
         return 1 / (1 + np.exp(-np.clip(z[:, None] - np.array(self.thresholds), -40, 40)))
 
 
-def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, least_docs: int = LEAST_DOCS, penalty: float = 2.0, steps: int = 240, rate: float = 0.5, first: float = 0.01) -> OrdinalModel:
-    """Proximal gradient (AdaGrad steps, L1) on the negative log-likelihood of the cumulative links."""
+class Rows:
+    """Feature numbers of rows, end to end; read and cut by parts, so that little but the numbers themselves is held."""
+
+    def __init__(self, rows: Iterable[np.ndarray]):
+        held, sizes = bytearray(), []
+        for r in rows:
+            held.extend(r)
+            sizes.append(len(r))
+        self.flat, self.sizes = np.frombuffer(held, np.int32), np.array(sizes, np.int64)
+
+    def parts(self):
+        """Each part's place in flat, and the row of each of its numbers."""
+        ends = np.cumsum(self.sizes)
+        for i in range(0, len(self.flat), PART):
+            j = min(i + PART, len(self.flat))
+            a, b = np.searchsorted(ends, [i, j - 1], "right")
+            yield slice(i, j), np.repeat(np.arange(a, b + 1), np.diff(ends[a:b], prepend=i, append=j))
+
+    def cut(self, live: np.ndarray) -> None:
+        """Leave the live features alone, numbered anew."""
+        number, sizes, n = (np.cumsum(live) - 1).astype(np.int32), np.zeros_like(self.sizes), 0
+        for here, doc in self.parts():
+            keep = live[self.flat[here]]
+            found = number[self.flat[here][keep]]
+            sizes += np.bincount(doc[keep], minlength=len(sizes))
+            self.flat[n : n + len(found)] = found
+            n += len(found)
+        self.flat, self.sizes = self.flat[:n] if 2 * n > len(self.flat) else self.flat[:n].copy(), sizes
+
+    def counts(self, features: int) -> np.ndarray:
+        """Rows that hold each feature."""
+        out = np.zeros(features, np.int64)
+        for here, _ in self.parts():
+            out += np.bincount(self.flat[here], minlength=features)
+        return out
+
+    def by_row(self, w: np.ndarray) -> np.ndarray:
+        """Sum of the features' weights in each row."""
+        out = np.zeros(len(self.sizes))
+        for here, doc in self.parts():
+            out += np.bincount(doc, w[self.flat[here]], len(out))
+        return out
+
+    def by_feature(self, values: np.ndarray, features: int) -> np.ndarray:
+        """Sum of the values of the rows that hold each feature."""
+        out = np.zeros(features)
+        for here, doc in self.parts():
+            out += np.bincount(self.flat[here], values[doc], features)
+        return out
+
+
+def fit_ordinal(rows: Rows | list[np.ndarray], grades: np.ndarray, least_docs: int = LEAST_DOCS, penalty: float = 2.0, steps: int = 240, rate: float = 0.5, first: float = 0.01) -> OrdinalModel:
+    """Proximal gradient (AdaGrad steps, L1) on the negative log-likelihood of the cumulative links; Rows are used up."""
     top = int(grades.max()) if len(grades) else 0
     if top < 1:
         return OrdinalModel()
-    sizes = np.array([len(r) for r in rows])
-    flat = np.concatenate(rows) if sizes.sum() else np.zeros(0, np.int32)
-    use = np.bincount(flat, minlength=BUCKETS) >= least_docs
-    number = (np.cumsum(use) - 1).astype(np.int32)
-    keep = use[flat]
-    doc, col = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)[keep], number[flat[keep]]
-    del flat, keep
-    n, m = len(rows), int(use.sum())
+    rows = rows if isinstance(rows, Rows) else Rows(rows)
+    use = rows.counts(BUCKETS) >= least_docs
+    rows.cut(use)
+    n, m = len(grades), int(use.sum())
     names, w = np.flatnonzero(use), np.zeros(m)
-
-    def summed(key, weights, at, size):
-        """bincount(key, weights[at]) by parts, for the driver's memory."""
-        out = np.zeros(size)
-        for i in range(0, len(key), 1 << 20):
-            out += np.bincount(key[i : i + (1 << 20)], weights[at[i : i + (1 << 20)]], size)
-        return out
-
     share = np.array([(grades >= k).mean() for k in range(1, top + 1)]).clip(1e-4, 1 - 1e-4)
     theta = np.maximum.accumulate(-np.log(share / (1 - share)))
     hw, ht = np.full(m, first**2), np.full(top, first**2)
@@ -92,11 +135,10 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, least_docs: int = LE
     for step in range(steps):
         if step in (40, 80, 160):  # the zeroed weights leave
             live = w != 0
-            number = (np.cumsum(live) - 1).astype(np.int32)
-            keep = live[col]
-            doc, col, w, hw, names = doc[keep], number[col[keep]], w[live], hw[live], names[live]
+            rows.cut(live)
+            w, hw, names = w[live], hw[live], names[live]
             m = len(w)
-        z = summed(doc, w, col, n)
+        z = rows.by_row(w)
         ge = np.ones((n, top + 2))  # P(grade >= k), k = 0 .. top + 1
         ge[:, 1 : top + 1] = 1 / (1 + np.exp(-np.clip(z[:, None] - theta, -40, 40)))
         ge[:, top + 1] = 0
@@ -104,7 +146,7 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, least_docs: int = LE
         slope = ge * (1 - ge)
         up, down = slope[np.arange(n), grades] / p, slope[np.arange(n), grades + 1] / p
         dz = (down - up) / n
-        gw = summed(col, dz, doc, m)
+        gw = rows.by_feature(dz, m)
         gt = np.bincount(grades, up / n, top + 2)[1 : top + 1] - np.bincount(grades + 1, down / n, top + 2)[1 : top + 1]
         hw += gw**2
         ht += gt**2
@@ -140,17 +182,25 @@ def fit_toxicity(
             yield pa.RecordBatch.from_arrays([b.column("grade"), pa.array(found, pa.binary())], ["grade", "f"])
 
     def fit(batches):
-        """All sampled rows in one task: the weights, then the thresholds under negative numbers."""
-        rows = [(g, bytes(f)) for b in batches for g, f in zip(b.column("grade").to_pylist(), b.column("f").to_pylist())]
-        rows.sort()
-        model = fit_ordinal([np.frombuffer(f, np.int32) for _, f in rows], np.array([g for g, _ in rows], np.int64))
+        """All sampled rows, sorted, in one task: the weights, then the thresholds under negative numbers."""
+        grades: list[int] = []
+
+        def found():
+            for b in batches:
+                grades.extend(b.column("grade").to_pylist())
+                yield from (np.frombuffer(f.as_buffer(), np.int32) for f in b.column("f"))
+
+        rows = Rows(found())
+        model = fit_ordinal(rows, np.array(grades, np.int64))
         names = [*model.weights, *range(-1, -1 - len(model.thresholds), -1)]
         values = [*model.weights.values(), *model.thresholds]
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(values, pa.float64())], ["name", "value"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "doc_id")
-    found = rows.select("grade", "text").mapInArrow(number, "grade int, f binary").repartition(1).mapInArrow(fit, "name long, value double")
-    fitted = {r["name"]: r["value"] for r in found.collect()}
+    numbered = rows.select("grade", "text").mapInArrow(number, "grade int, f binary")
+    found = numbered.repartition(1).sortWithinPartitions("grade", "f").mapInArrow(fit, "name long, value double")
+    with setting(docs.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH)):
+        fitted = {r["name"]: r["value"] for r in found.collect()}
     thresholds = [fitted[k] for k in sorted((k for k in fitted if k < 0), reverse=True)]
     return OrdinalModel({k: v for k, v in fitted.items() if k >= 0}, thresholds)
 
@@ -159,12 +209,12 @@ def judge_with(spark: SparkSession, model: OrdinalModel):
     """Text column -> struct of the expected severity and P(grade >= 1)."""
     shared = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("struct<expected:double,toxic:double>")
+    @F.arrow_udf("struct<expected:double,toxic:double>")
     def judge(text):
-        import pandas as pd
-
-        p = shared.value.severity(text.tolist())
-        return pd.DataFrame({"expected": p.sum(1), "toxic": p[:, 0] if p.shape[1] else np.zeros(len(p))})
+        found = [shared.value.severity(b.column("text").to_pylist()) for b in pieces([pa.RecordBatch.from_arrays([text], ["text"])])]
+        p = np.concatenate(found) if found else np.zeros((0, 0))
+        toxic = p[:, 0] if p.shape[1] else np.zeros(len(p))
+        return pa.StructArray.from_arrays([pa.array(p.sum(1)), pa.array(toxic)], ["expected", "toxic"])
 
     return judge
 
