@@ -46,6 +46,8 @@ K1, B = 1.2, 0.75
 BLOCK = 16
 NARROW = 64  # blocks up to which all block bounds of a passage are summed
 DENSE = 1 << 23  # cells of a flat weight table
+CELLS = 1 << 18  # terms of (passage, block) or (passage, item) that are summed at once, for a worker's memory
+SLICE = 1 << 20  # bytes of texts that are matched at once, likewise
 
 
 def shingles(h: np.ndarray, k: int = SHINGLE) -> np.ndarray:
@@ -79,7 +81,7 @@ def runs(first: np.ndarray, size: np.ndarray) -> np.ndarray:
 class Index:
     """Postings and block maxima of some items."""
 
-    ids: np.ndarray
+    ids: pa.Array
     terms: np.ndarray
     cut: np.ndarray
     items: np.ndarray
@@ -92,8 +94,8 @@ class Index:
     flat: dict = field(default_factory=dict, repr=False)
 
     @classmethod
-    def build(cls, ids: list, texts: list[str], counts: "ItemCounts") -> "Index":
-        h, _, at = words_of(*text_buffer(pa.array(texts, pa.large_string())), ALNUM)
+    def build(cls, ids: pa.Array, texts: pa.Array, counts: "ItemCounts") -> "Index":
+        h, _, at = words_of(*text_buffer(texts), ALNUM)
         n, size = len(ids), np.diff(at)
         item = np.repeat(np.arange(n), size)
         pair = np.zeros(len(h), dtype=[("h", np.uint64), ("i", np.int64)])
@@ -112,7 +114,7 @@ class Index:
         parts = [parts_of(h[a:b]) for a, b in zip(at[:-1], at[1:])]
         first_posting = np.searchsorted(term, np.arange(len(terms) + 1))
         span = max(64, 2 * counts.longest)
-        return cls(np.array(ids, object), terms, first_posting, pair["i"], w, block_key, block_max, largest, span, parts)
+        return cls(ids, terms, first_posting, pair["i"], w, block_key, block_max, largest, span, parts)
 
     def at(self, keys, values, wanted):
         """Values of the wanted keys, 0 where there is none; by a flat table while that is small."""
@@ -157,7 +159,7 @@ class Index:
 
         def sums(groups, key_of):
             out = []
-            step = max(1, (1 << 21) // max(1, int(size.max())))
+            step = max(1, CELLS // max(1, int(size.max())))
             for i in range(0, len(groups), step):
                 g = groups[i : i + step]
                 at = runs(first[g], size[g])
@@ -215,6 +217,18 @@ def match_slice(index: Index, find: Lookup, batch: pa.RecordBatch, threshold: fl
     return out
 
 
+def hit_lists(index: Index, texts: pa.Array, threshold: float, similarity: float) -> pa.ListArray:
+    """Verified (item, score) of each text; the texts stay in Arrow's buffers and are matched by slices."""
+    found, done = [], 0
+    for b in pieces([pa.RecordBatch.from_arrays([texts], ["text"])], SLICE):
+        found += [(done + r, i, s) for (r, i), s in match_slice(index, index.find, b, threshold, similarity).items()]
+        done += b.num_rows
+    found.sort(key=lambda hit: hit[0])
+    row, item, score = zip(*found) if found else ((), (), ())
+    hits = pa.StructArray.from_arrays([index.ids.take(pa.array(item, pa.int64())), pa.array(score, pa.float64())], ["item", "score"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(texts) + 1)).astype(np.int32)), hits)
+
+
 class ItemCounts:
     """Counts over all items: their number, mean and greatest length, and the items that hold each word."""
 
@@ -267,24 +281,16 @@ def decontaminate(
     counts = ItemCounts(listed)
 
     def index(k: int):
-        block = listed.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).orderBy("item", "text").collect()
-        return spark.sparkContext.broadcast(Index.build([r["item"] for r in block], [r["text"] for r in block], counts)) if block else None
+        block = listed.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).orderBy("item", "text").toArrow()
+        return spark.sparkContext.broadcast(Index.build(block["item"].combine_chunks(), block["text"], counts)) if block.num_rows else None
 
     def matcher(shared):
-        @F.pandas_udf(hits)
+        @F.arrow_udf(hits)
         def match(texts):
-            import pandas as pd
-
             index = shared.value
             if not hasattr(index, "find"):
                 index.find = Lookup(index.terms)
-            rows: list = [[] for _ in range(len(texts))]
-            done = 0
-            for b in pieces([pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string(), from_pandas=True)], ["text"])]):
-                for (r, i), s in match_slice(index, index.find, b, threshold, similarity).items():
-                    rows[done + r].append({"item": index.ids[i], "score": s})
-                done += b.num_rows
-            return pd.Series(rows)
+            return hit_lists(index, texts, threshold, similarity)
 
         return match
 

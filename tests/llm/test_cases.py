@@ -4,12 +4,13 @@ import math
 import random
 import tracemalloc
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from ondol.llm import decontaminate, line_dedup, lm_score, near_dup, suffix_dedup, toxicity
+from ondol.llm import common, decontaminate, line_dedup, lm_score, near_dup, suffix_dedup, toxicity
 
 random.seed(23)
 WORDS = [f"word{i}" for i in range(70)]
@@ -118,6 +119,29 @@ def test_items_do_not_depend_on_blocks(spark):
     assert named.columns == ["doc_id", "text", "_items"]
 
 
+def test_matching_holds_little(monkeypatch):
+    rng = random.Random(3)
+    items = [" ".join(f"t{rng.randrange(400)}" for _ in range(35)) for _ in range(200)]
+    texts = [" ".join(f"t{rng.randrange(400)}" for _ in range(500)) for _ in range(44)]
+    texts[7], texts[20], texts[30] = texts[7] + " " + items[9], None, items[50] + " " + texts[30] + " " + items[3]
+    shared = SimpleNamespace(items=200, mean=35.0, longest=35, df=lambda terms: np.full(len(terms), 16))
+    index = decontaminate.Index.build(pa.array(range(1000, 1200)), pa.array(items), shared)
+    index.find = common.Lookup(index.terms)
+    batch = pa.RecordBatch.from_pydict({"text": texts})
+    decontaminate.match_slice(index, index.find, batch.slice(0, 1), 0.5, 0.8)
+    tracemalloc.start()
+    try:
+        found = decontaminate.match_slice(index, index.find, batch, 0.5, 0.8)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sorted(found) == [(7, 9), (30, 3), (30, 50)] and peak < 50e6
+    monkeypatch.setattr(decontaminate, "SLICE", 5000)
+    lists = decontaminate.hit_lists(index, pa.array(["", *texts]).slice(1), 0.5, 0.8).to_pylist()
+    want = [sorted((1000 + i, round(s, 9)) for (r, i), s in found.items() if r == row) for row in range(len(texts))]
+    assert [sorted((x["item"], round(x["score"], 9)) for x in hits) for hits in lists] == want
+
+
 def test_suffix_rows_that_share_an_id(spark):
     common, long = prose(20), prose(20000)
     rows = [(1, common), (5, "x" + common), (5, "completely other " + common + " end"), (5, None), (None, common), (7, long), (8, "new " + long[70000:90000])]
